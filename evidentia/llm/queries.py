@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import near_duplicates
+from . import encoding, leaks, near_duplicates
 
 
 def p1_found(spark, d):
@@ -16,5 +16,17 @@ def p1_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+def p7_ids(spark, d):
+    return encoding.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_spans(spark, d):
+    return leaks.leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_passages"), "item_id", "text")
+
+
+def p8_found(spark, d):
+    return p8_spans(spark, d).select("doc_id", "item_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
 SQL: dict[str, str] = {}
