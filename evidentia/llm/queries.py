@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import encoding, leaks, near_duplicates
+from . import encoding, leaks, near_duplicates, subjects
 
 
 def p1_found(spark, d):
@@ -28,5 +28,9 @@ def p8_found(spark, d):
     return p8_spans(spark, d).select("doc_id", "item_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans}
+def p9_found(spark, d):
+    return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 SQL: dict[str, str] = {}
