@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import encoding, leaks, near_duplicates, subjects
+from . import encoding, leaks, near_duplicates, neighbours, splitting, subjects
 
 
 def p1_found(spark, d):
@@ -16,6 +16,24 @@ def p1_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
+def p5_pieces(spark, d):
+    return splitting.split_texts(table(spark, d, "chunks"), "chunk_id", "text", ["doc_id", "heading_path"])
+
+
+def p5_found(spark, d):
+    pieces = splitting.split_texts(table(spark, d, "chunks"), "chunk_id", "text", oversized_only=True)
+    return pieces.where("piece = 1").select("chunk_id")
+
+
+def p6_neighbours(spark, d):
+    top = neighbours.nearest_neighbours(table(spark, d, "index_vectors"), "chunk_id", "vectors", "row_no")
+    return top.withColumnsRenamed({"id_a": "chunk_id", "id_b": "neighbour_id"})
+
+
+def p6_found(spark, d):
+    return neighbours.neighbour_pairs(table(spark, d, "index_vectors"), "chunk_id", "vectors", "row_no").toDF("chunk_id_a", "chunk_id_b")
+
+
 def p7_ids(spark, d):
     return encoding.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
 
@@ -32,5 +50,5 @@ def p9_found(spark, d):
     return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 SQL: dict[str, str] = {}
