@@ -207,7 +207,7 @@ def nearest_neighbours(
 
     def blocks(queries: DataFrame, nq: int, everything: bool) -> DataFrame:
         h = F.xxhash64("id", F.lit(3))
-        left = queries.select("id", "v", F.pmod(h, F.lit(nq)).cast("int").alias("q")).select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("i"))
+        left = queries.toDF("id", "v").select("id", "v", F.pmod(h, F.lit(nq)).cast("int").alias("q")).select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("i"))
         right = rows.select("id", "v", F.pmod(h, F.lit(ib)).cast("int").alias("i")).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), "i")
         left, right = left.repartition(nq * ib, "q", "i"), right.repartition(nq * ib, "q", "i")
         return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInArrow(_grid(fit, k, probes, far, everything), schema)
@@ -215,12 +215,12 @@ def nearest_neighbours(
     ranked = Window.partitionBy("id_a").orderBy(F.desc("cos"), "id_b")
     top = blocks(rows, qb, False).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     top = cut_lineage(top)
-    full = top.groupBy("id_a").count().where(F.col("count") >= min(k, n - 1))
-    short = rows.join(full, rows["id"] == full["id_a"], "left_anti")
+    full = top.groupBy("id_a").count().where(F.col("count") >= min(k, n - 1)).select(F.col("id_a").alias("id"))
+    short = rows.join(full, "id", "left_anti")
     if (left := short.count()) == 0:
         return top
     more = blocks(short, max(1, -(-left // QUERY_BLOCK)), True).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return top.join(full.select("id_a"), "id_a", "left_semi").select("id_a", "id_b", "cos", "rank").unionAll(more.select("id_a", "id_b", "cos", "rank"))
+    return top.join(full.select(F.col("id").alias("id_a")), "id_a", "left_semi").select("id_a", "id_b", "cos", "rank").unionAll(more.select("id_a", "id_b", "cos", "rank"))
 
 
 def neighbour_pairs(df: DataFrame, id_col: str, vector_col: str, order_col: str, **how) -> DataFrame:

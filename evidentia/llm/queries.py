@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..session import table
-from . import encoding, leaks, near_duplicates, neighbours, splitting, subjects
+from . import encoding, leaks, near_duplicates, neighbours, pair_quality, splitting, subjects
 
 
 def p1_found(spark, d):
@@ -16,6 +16,10 @@ def p1_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
+def p4_found(spark, d):
+    return pair_quality.defective_pairs(table(spark, d, "item_details"), "run_id", "id", "question", "answer", "answerable")
+
+
 def p5_pieces(spark, d):
     return splitting.split_texts(table(spark, d, "chunks"), "chunk_id", "text", ["doc_id", "heading_path"])
 
@@ -50,5 +54,5 @@ def p9_found(spark, d):
     return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 SQL: dict[str, str] = {}
