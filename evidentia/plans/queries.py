@@ -2,6 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from ..operators import units
+from ..session import table
+
+
+def p3_amounts(spark, d):
+    return units.common_amounts(table(spark, d, "gold_items"), table(spark, d, "number_mentions"), table(spark, d, "chunks"))
+
+
+def p3_found(spark, d):
+    return p3_amounts(spark, d).select("table_name", "rec_key", "common_unit", "amount")
+
+
+QUERIES = {"p3_found": p3_found, "p3_amounts": p3_amounts}
+SQL: dict[str, str] = {}
 FLAGSHIP = "p3_found"
