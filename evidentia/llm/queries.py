@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..session import table
-from . import encoding, leaks, near_duplicates, neighbours, pair_quality, splitting, subjects
+from . import encoding, leaks, near_duplicates, neighbours, pair_quality, split_overlap, splitting, subjects
 
 
 def p1_found(spark, d):
@@ -16,6 +18,20 @@ def p1_groups(spark, d):
     return near_duplicates.near_duplicate_groups(table(spark, d, "chunks"), "chunk_id", "text").withColumnRenamed("id", "chunk_id")
 
 
+def _overlaps(spark, d):
+    known = split_overlap.known_words(table(spark, d, "manifest"), "company")
+    return split_overlap.split_overlaps(table(spark, d, "gold_items"), "id", "question", "split", known=known)
+
+
+def p2_found(spark, d):
+    pairs = _overlaps(spark, d)
+    return pairs.select(F.least("train_id", "held_id").alias("id_a"), F.greatest("train_id", "held_id").alias("id_b"))
+
+
+def p2_report(spark, d):
+    return split_overlap.overlap_report(_overlaps(spark, d), table(spark, d, "gold_items"), "id", "split", "source")
+
+
 def p4_found(spark, d):
     return pair_quality.defective_pairs(table(spark, d, "item_details"), "run_id", "id", "question", "answer", "answerable")
 
@@ -54,5 +70,5 @@ def p9_found(spark, d):
     return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
 SQL: dict[str, str] = {}
