@@ -7,8 +7,8 @@ class each, so copies cost nothing further. Between the classes of both sides ru
 join: the shingles of a class are its neighbouring words, ordered by rarity; a pair whose Jaccard
 similarity reaches the threshold must share one of the rarest n - ceil(t n) + 1 shingles of either
 side, so only these are indexed (evaluation) and probed (training). Length and position filters cut
-the rest before the overlap is verified exactly; a pair that differs in a word is kept only where the
-difference is a slip of spelling.
+the rest; the word sets of what is left are compared exactly, and a pair is kept only where they differ
+by slips of spelling.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 _UNIT = re.compile(r"\((?:in|expressed in|given in)\s[^()]{1,60}\)")
 _YEAR = re.compile(r"\bfy\s*['’]?\s*((?:19|20)?\d\d)\b")
 _WORD = re.compile(r"[^\W_]+")
@@ -69,7 +71,7 @@ def corrections(words: DataFrame, known: DataFrame | None, ratio: int = 20, leas
 
 def canonical(items: DataFrame, known: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """(questions(id, side, words), counts) with corrected words and without filler; items(id, side, question)."""
-    split = items.mapInPandas(_split, f"id {dict(items.dtypes)['id']}, side string, words array<string>")
+    split = cut_lineage(items.mapInPandas(_split, f"id {dict(items.dtypes)['id']}, side string, words array<string>"))
     counts, fixes = corrections(split, known)
     tokens = split.select("id", "side", F.posexplode("words").alias("pos", "word"))
     fixed = tokens.join(fixes, "word", "left").select("id", "side", "pos", F.coalesce("better", "word").alias("word"))
@@ -92,16 +94,17 @@ def split_overlaps(
     rows = items.select(F.col(id_col).alias("id"), F.when(side == train, "t").when(side.isin(*held), "h").alias("side"), F.col(question).alias("question"))
     rows = rows.where("id IS NOT NULL AND side IS NOT NULL AND question IS NOT NULL").dropDuplicates(["id"])
     asked, counts = canonical(rows, known)
-    asked = asked.withColumn("key", F.array_join(F.array_sort(F.array_distinct("words")), " "))
+    asked = cut_lineage(asked.withColumn("key", F.array_join(F.array_sort(F.array_distinct("words")), " ")))
     members = asked.select("key", "side", "id").repartition("key")
     classes = asked.groupBy("key", "side").agg(F.min("words").alias("words"))
     # shingles with their rarity, over all classes
     grams = classes.select("key", "side", "words", F.expr("array_distinct(transform(sequence(1, greatest(1, size(words) - 1)), i -> concat_ws(' ', words[i - 1], words[i])))").alias("g"))
     grams = grams.withColumn("n", F.size("g"))
-    each = grams.select("key", "side", "n", F.explode("g").alias("gram"))
+    each = cut_lineage(grams.select("key", "side", "n", F.explode("g").alias("gram")))
     rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
     ranked = each.join(rarity, "gram").groupBy("key", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
     prefix = ranked.select("key", "side", "n", F.posexplode(F.expr(f"slice(g, 1, cast(n - ceil({similarity} * n) + 1 AS int))")).alias("pos", "x")).select("key", "side", "n", "pos", "x.gram")
+    prefix = cut_lineage(prefix)
     t = prefix.where("side = 't'").select(F.col("key").alias("kt"), F.col("n").alias("nt"), F.col("pos").alias("pt"), "gram")
     h = prefix.where("side = 'h'").select(F.col("key").alias("kh"), F.col("n").alias("nh"), F.col("pos").alias("ph"), "gram")
     s = F.lit(similarity)
@@ -114,7 +117,7 @@ def split_overlaps(
     pairs = pairs.select("kt", "kh").distinct()
     # different classes are one question only if they differ by slips in rare words
     diff = pairs.select("kt", "kh", F.array_except(F.split("kt", " "), F.split("kh", " ")).alias("a"), F.array_except(F.split("kh", " "), F.split("kt", " ")).alias("b"))
-    diff = diff.where((F.size("a") == F.size("b")) & F.size("a").between(1, 2))
+    diff = cut_lineage(diff.where((F.size("a") == F.size("b")) & F.size("a").between(1, 2)))
     cross = diff.select("kt", "kh", F.size("a").alias("k"), F.explode("a").alias("x"), "b").select("kt", "kh", "k", "x", F.explode("b").alias("y"))
     cross = cross.where((F.length("x") >= 4) & F.col("x").rlike(r"^\p{L}+$") & F.col("y").rlike(r"^\p{L}+$")).where(one_slip(F.col("x"), F.col("y")))
     cx, cy = counts.select(F.col("word").alias("x"), F.col("n").alias("cx")), counts.select(F.col("word").alias("y"), F.col("n").alias("cy"))
