@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import units
 from ..session import table
-from . import retrieval  # noqa: F401
+from . import evaluation, retrieval, verification  # noqa: F401
 from .registry import QUERIES, SQL, query
 
 FLAGSHIP = "ranking_report"
