@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..operators import units
 from ..session import table
-from . import evaluation, filings, retrieval, streams, verification  # noqa: F401
+from . import evaluation, filings, retrieval, stores, streams, verification  # noqa: F401
 from .registry import QUERIES, SQL, query
 
 FLAGSHIP = "ranking_report"
