@@ -56,7 +56,7 @@ def one_slip(a, b):
     return (F.levenshtein(a, b) <= 1) | swapped
 
 
-def corrections(words: DataFrame, known: DataFrame | None, ratio: int = 20, least: int = 4) -> tuple[DataFrame, DataFrame]:
+def corrections(words: DataFrame, known: DataFrame | None, ratio: int = 20, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(counts(word, n), fixes(word, better)): words that a single slip turns into one `ratio` times as frequent."""
     counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     wordy = counts.where((F.length("word") >= least) & F.col("word").rlike(r"^\p{L}+$"))
@@ -119,7 +119,7 @@ def split_overlaps(
     diff = pairs.select("kt", "kh", F.array_except(F.split("kt", " "), F.split("kh", " ")).alias("a"), F.array_except(F.split("kh", " "), F.split("kt", " ")).alias("b"))
     diff = cut_lineage(diff.where((F.size("a") == F.size("b")) & F.size("a").between(1, 2)))
     cross = diff.select("kt", "kh", F.size("a").alias("k"), F.explode("a").alias("x"), "b").select("kt", "kh", "k", "x", F.explode("b").alias("y"))
-    cross = cross.where((F.length("x") >= 4) & F.col("x").rlike(r"^\p{L}+$") & F.col("y").rlike(r"^\p{L}+$")).where(one_slip(F.col("x"), F.col("y")))
+    cross = cross.where((F.length("x") >= 3) & F.col("x").rlike(r"^\p{L}+$") & F.col("y").rlike(r"^\p{L}+$")).where(one_slip(F.col("x"), F.col("y")))
     cx, cy = counts.select(F.col("word").alias("x"), F.col("n").alias("cx")), counts.select(F.col("word").alias("y"), F.col("n").alias("cy"))
     cross = cross.join(cx, "x").join(cy, "y").where(F.least("cx", "cy") <= 2)
     if known is not None:
