@@ -60,7 +60,8 @@ def corrections(words: DataFrame, known: DataFrame | None, ratio: int = 20, leas
     """(counts(word, n), fixes(word, better)): words that a single slip turns into one `ratio` times as frequent."""
     counts = words.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     wordy = counts.where((F.length("word") >= least) & F.col("word").rlike(r"^\p{L}+$"))
-    odd = wordy if known is None else wordy.join(known, "word", "left_anti")
+    odd = wordy.where(~F.col("word").isin(*sorted(FILLER)))
+    odd = odd if known is None else odd.join(known, "word", "left_anti")
     good = wordy.where(F.col("n") >= ratio)
     left = odd.select("word", "n", F.explode(_variants(F.col("word"))).alias("v"))
     right = good.select(F.col("word").alias("better"), F.col("n").alias("m"), F.explode(_variants(F.col("word"))).alias("v"))

@@ -148,13 +148,15 @@ def learn(texts: list[str], labels: list[set[str]], names: list[str], hints: lis
     eye = np.tile(np.eye(len(names), dtype=np.float32), (3, 1))
     soft = np.concatenate([doc_y[doc], eye]) if len(doc) else eye
     w, b = fit(rows, soft)
+    base = soft.mean(axis=0)
+    sure = base + 0.3 * (1 - base)  # clearly above what a sentence on nothing gets
     for _ in range(2):
         p = sigmoid(rows.scores(w, b))
         best = np.where(soft > 0, p, 0).max(axis=1, keepdims=True)
-        hard = ((soft > 0) & (p >= 0.4) & (p >= best - 1e-6)).astype(np.float32)
+        hard = ((soft > 0) & (p >= sure) & (p >= best - 1e-6)).astype(np.float32)
         hard[len(doc) :] = eye
         # a sentence that clearly deals with a subject its document was not labelled with stays out of that fit
-        stray = (soft == 0) & (p >= 0.6)
+        stray = (soft == 0) & (p >= np.maximum(0.6, sure))
         w, b = fit(rows, np.where(stray, 1.0, hard).astype(np.float32))
     limits = np.full(len(names), 0.5, np.float32)
     held = np.random.default_rng(seed).random(n_texts) < 0.5
