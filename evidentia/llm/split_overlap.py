@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,11 +31,28 @@ _WORD = re.compile(r"[^\W_]+")
 FILLER = frozenset("the a an please kindly say tell me thanks thank you q question dev test train i would like to know could s fiscal year fy in for".split())
 
 
+#: Filler that no other word of a question resembles: a slip away from these is filler too, however rare.
+_CLEAR = ("please", "thanks", "fiscal", "kindly")
+
+
+@lru_cache(maxsize=200_000)
+def filler_slip(word: str) -> bool:
+    """Whether a word is one slip (a letter dropped, added, changed, or two swapped) away from clear filler."""
+    for f in _CLEAR:
+        if abs(len(word) - len(f)) > 1 or word == f:
+            continue
+        i = next((k for k, (a, b) in enumerate(zip(word, f, strict=False)) if a != b), min(len(word), len(f)))
+        a, b = word[i:], f[i:]
+        if a[1:] == b or a == b[1:] or a[1:] == b[1:] or (len(a) > 1 and len(b) > 1 and a[:2] == b[1::-1] and a[2:] == b[2:]):
+            return True
+    return False
+
+
 def question_words(text: str) -> list[str]:
     """Words of a question in order, years in four digits at the end; filler is still in."""
     s = unicodedata.normalize("NFKC", text).lower().replace("’", "'").replace("`", "'").replace("´", "'").replace("­", "").replace("​", "")
     s = _YEAR.sub(lambda m: f" {m[1] if len(m[1]) == 4 else '20' + m[1]} ", _UNIT.sub(" ", s))
-    w = _WORD.findall(s)
+    w = [x for x in _WORD.findall(s) if not filler_slip(x)]
     years = [x for x in w if len(x) == 4 and x.isdigit()]
     return [x for x in w if not (len(x) == 4 and x.isdigit())] + sorted(years)
 

@@ -89,6 +89,7 @@ def test_components(spark):
 def test_question_words():
     w = split_overlap.question_words
     assert w("Q: How large was X in FY'21?")[-1] == "2021" and w("In the 2021 fiscal year, Y (in mn US dollars)?")[-1] == "2021" and "mn" not in w("Y (in mn US dollars)")
+    assert w("pleae pleease plaese thakns thnks fscal fsical") == [] and w("sales world phase") == ["sales", "world", "phase"]
 
 
 def test_overlaps(spark):
