@@ -30,6 +30,13 @@ def posts(spark, d):
     return lexical.postings(chunks(spark, d), "chunk_id", "text")
 
 
+def index(spark, d):
+    """(chunks, postings, statistics): the postings written once to the shared folder, as every search reads them several times."""
+    c = chunks(spark, d)
+    p = cut_lineage(lexical.postings(c, "chunk_id", "text"))
+    return c, p, lexical.index_stats(p, c, "text")
+
+
 @query(f"WITH {P.tokens('dt', P.CHUNKS, 'chunk_id', 'text')} SELECT chunk_id, term, count(*) AS tf, CAST(any_value(dl) AS INTEGER) AS dl FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM dt) GROUP BY chunk_id, term")
 def index_postings(spark, d):
     return posts(spark, d).select(F.col("row").alias("chunk_id"), "term", "tf", "dl")
@@ -64,8 +71,8 @@ def index_delta_round_trip(spark, d):
 
 @query(f"WITH {P.bm25()} SELECT qid, row AS chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM {P.top('scores', 50)}")
 def bm25_top50(spark, d):
-    c = chunks(spark, d)
-    scores = lexical.bm25_scores(posts(spark, d), lexical.corpus_stats(c, "text"), asked(spark, d))
+    _, p, stats = index(spark, d)
+    scores = lexical.bm25_scores(p, stats, asked(spark, d))
     return lexical.top_hits(scores, 50).select("qid", F.col("row").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
 
 
@@ -110,8 +117,8 @@ _MASK = f"JOIN flt USING (qid) JOIN (SELECT chunk_id, doc_id FROM {P.CHUNKS}) c
 @query(f"WITH {_FILTERS}, {P.bm25().replace(', stats  GROUP BY', ' CROSS JOIN stats ' + _MASK + ' GROUP BY')} SELECT qid, row AS chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM {P.top('scores', 10)}")
 def bm25_filtered_top10(spark, d):
     """Search within the documents that a question names; the statistics stay those of the whole index."""
-    c = chunks(spark, d)
-    p, stats, q = posts(spark, d), lexical.corpus_stats(c, "text"), asked(spark, d)
+    c, p, stats = index(spark, d)
+    q = asked(spark, d)
     rows, free = _allowed(spark, d, c)
     masked = lexical.bm25_scores(p, stats, q.join(free, "qid", "left_anti"), rows)
     scores = masked.unionByName(lexical.bm25_scores(p, stats, q.join(free, "qid", "left_semi")))
@@ -146,11 +153,10 @@ _HYBRID = (
 
 
 def _hybrid(spark, d):
-    c = chunks(spark, d)
+    c, p, stats = index(spark, d)
     ids = dense.stored_vectors(table(spark, d, "index_vectors")).where("row_no % 20 = 0").select(F.col("row").alias("chunk_id"))
     q = c.join(ids, "chunk_id").where("heading_path IS NOT NULL").select(F.col("chunk_id").alias("qid"), F.array_join("heading_path", " ").alias("text"))
-    p = posts(spark, d)
-    lex = lexical.top_hits(lexical.bm25_scores(p, lexical.corpus_stats(c, "text"), q), 50)
+    lex = lexical.top_hits(lexical.bm25_scores(p, stats, q), 50)
     return p, q, fusion.fuse(lex, _dense(spark, d, 50))
 
 
@@ -203,8 +209,8 @@ _METRICS = (
 
 
 def _scored(spark, d):
-    c = chunks(spark, d)
-    hits = lexical.top_hits(lexical.bm25_scores(posts(spark, d), lexical.corpus_stats(c, "text"), asked(spark, d)), 10).select("qid", F.col("row").alias("chunk_id"), "rank")
+    c, p, stats = index(spark, d)
+    hits = lexical.top_hits(lexical.bm25_scores(p, stats, asked(spark, d)), 10).select("qid", F.col("row").alias("chunk_id"), "rank")
     spans = judging.gold_spans(gold(spark, d)).join(asked(spark, d).select("qid"), "qid", "left_semi")
     return judging.score_rankings(hits, judging.gold_overlaps(spans, c), spans)
 
