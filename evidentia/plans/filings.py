@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, facts
+from ..operators import chunking, facts, synthesis
 from ..session import table
 from . import sqlparts as P
 from .registry import query
@@ -173,3 +173,10 @@ def document_fingerprints(spark, d):
     h = F.conv(F.left(F.sha2(F.concat("chunk_id", F.lit(":"), F.sha2("text", 256)), 256), F.lit(15)), 16, 10).cast("decimal(38,0)")
     c = chunks(spark, d).where("text IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(h).alias("s"))
     return c.select("doc_id", "n", F.sha2(F.concat(F.col("n").cast("string"), F.lit(":"), F.col("s").cast("string")), 256).alias("fingerprint"))
+
+
+@query(f"SELECT chunk_id, doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY sha256('s1|' || chunk_id)) AS INTEGER) AS turn, sha256('s1|' || doc_id) AS lane_order FROM {P.CHUNKS} WHERE doc_id IS NOT NULL AND n_tokens >= 120")
+def interleaved_chunks(spark, d):
+    """Candidate chunks in seeded order, documents in turn."""
+    c = chunks(spark, d).where("doc_id IS NOT NULL AND n_tokens >= 120").select("chunk_id", "doc_id")
+    return synthesis.interleave(c, "chunk_id", "doc_id", "s1").select("chunk_id", "doc_id", "turn", "lane_order")

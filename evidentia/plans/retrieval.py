@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, filters, fusion, judging, lexical
+from ..operators import dense, filters, fusion, judging, lexical, prompts
 from ..session import cut_lineage, table
 from . import sqlparts as P
 from .registry import query
@@ -259,3 +259,16 @@ def shard_sizes(spark, d):
     """Size report per shard of the text store, with a flag beyond a budget."""
     s = chunks(spark, d).where("text IS NOT NULL").select(T.shard_of(F.col("chunk_id")).alias("shard"), F.octet_length("text").alias("b"))
     return s.groupBy("shard").agg(F.count("*").alias("chunks"), F.sum("b").alias("bytes"), (F.sum("b") > 4000).alias("over_budget"))
+
+
+@query(
+    f"WITH {P.bm25()}, h AS (SELECT qid, row, rank FROM {P.top('scores', 3)}) SELECT a.qid, 'SOURCES:' || chr(10) || chr(10) || coalesce(b.s, '') || chr(10) || chr(10) || 'QUESTION: ' || trim(a.text) AS prompt FROM {P.ASKED} a LEFT JOIN "
+    f"(SELECT qid, string_agg('[' || rank || '] ' || coalesce(c.item, '?') || chr(10) || trim(c.text), chr(10) || chr(10) ORDER BY rank) AS s FROM h JOIN {P.CHUNKS} c ON c.chunk_id = h.row GROUP BY qid) b USING (qid)"
+)
+def retrieval_prompts(spark, d):
+    """Prompts of the stated questions over their three best chunks."""
+    c, p, stats = index(spark, d)
+    q = asked(spark, d)
+    hits = lexical.top_hits(lexical.bm25_scores(p, stats, q), 3)
+    s = hits.join(c.select(F.col("chunk_id").alias("row"), F.coalesce("item", F.lit("?")).alias("label"), "text"), "row").select("qid", F.col("rank").alias("n"), "label", "text")
+    return prompts.source_prompts(s, q)

@@ -50,3 +50,14 @@ def test_synthesis(spark):
     c = spark.createDataFrame([(1, "d", "x"), (2, "d", "y"), (3, "d", "x"), (4, "e", "y")], "row int, doc string, item string")
     s = spark.createDataFrame([(1, 2, 0.5), (1, 3, 0.9), (1, 4, 0.8), (1, 1, 1.0)], "qid int, row int, score double")
     assert [tuple(r) for r in synthesis.partners(c, s, "doc", "item").collect()] == [(1, 2, 0.5)]
+
+
+def test_sql_functions(spark):
+    from evidentia.functions.register import register
+
+    register(spark)
+    assert [r.text for r in spark.sql("SELECT * FROM split_sentences('It rose. It fell.') ORDER BY no").collect()] == ["It rose.", "It fell."]
+    assert spark.sql("SELECT value FROM extract_numbers('about $5 million')").first().value == 5e6
+    assert spark.sql("SELECT start FROM locate_all('a  b a b', 'a b') ORDER BY start").collect()[1].start == 5
+    assert spark.sql("SELECT text FROM parse_html_blocks('<p>one line<p>two lines') ORDER BY no").collect()[1].text == "two lines"
+    assert spark.sql("SELECT size(numbers_of('1.5 and 2.5')) AS n").first().n == 2
