@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .components import components
 from .hashing import Words, mix, slices
 
@@ -164,7 +165,7 @@ def _verifier(k: int, weighted: bool, least: int, at_least: float):
 
 def near_duplicate_classes(
     df: DataFrame, id_col: str, text_col: str, *, words: int = 5, similarity: float = 0.8, least_shingles: int = 1,
-    weighted: bool = True, bands: int = 40, rows: int = 4,
+    weighted: bool = True, bands: int = 40, rows: int = 4, keep_members: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): members(h, id) has the class of equal word sequences of every text; links(ha, hb, sim),
     ha <= hb, has each pair of classes with at least `similarity`, and (h, h) for a class of several ids.
@@ -172,11 +173,14 @@ def near_duplicate_classes(
     Nulls: a null text or id is in no class. A text of fewer than `words` words, or of fewer than
     `least_shingles` distinct shingles, has no link, not even to a copy. Repeated rows count once.
     Ties do not arise. Empty tables give empty results. Only the two named columns are read, so
-    further columns may have any name.
+    further columns may have any name. keep_members writes the members to the shared folder, for callers
+    that read them in more than one job.
     """
     base = df.select(F.col(id_col).alias("id"), normal_words(F.col(text_col)).alias("norm")).where("id IS NOT NULL AND norm <> ''")
     base = base.select("id", "norm", F.xxhash64("norm").alias("h"))
     members = base.select("h", "id").repartition("h").distinct()
+    if keep_members:
+        members = cut_lineage(members)
     texts = base.select("h", "norm").groupBy("h").agg(F.first("norm").alias("norm"))
     signed = texts.mapInArrow(_signer(words, bands, rows, weighted, least_shingles), "h long, bands array<int>")
     keys = signed.select("h", F.posexplode("bands")).select("h", (F.shiftleft(F.col("pos").cast("long"), 32) + F.col("col")).alias("key"))
@@ -202,9 +206,7 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str, **how) -> Da
 
 def near_duplicate_groups(df: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     """(id, class_id, n_links): the smallest id of its group, and the number of other ids linked to it, for every text."""
-    members, links = near_duplicate_classes(df, id_col, text_col, **how)
-    from ..session import cut_lineage
-
+    members, links = near_duplicate_classes(df, id_col, text_col, keep_members=True, **how)
     links = cut_lineage(links)
     sizes = members.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("low"))
     ends = links.select(F.col("ha").alias("h"), F.col("hb").alias("o")).unionAll(links.where("ha <> hb").select(F.col("hb").alias("h"), F.col("ha").alias("o")))
