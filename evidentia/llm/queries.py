@@ -71,4 +71,17 @@ def p9_found(spark, d):
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}
-SQL: dict[str, str] = {}
+_TEXTS = "(SELECT chunk_id, any_value(text) AS text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL GROUP BY chunk_id)"
+_SPACE = r"\s\x0b\x1c-\x1f\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+#: Where SQL can say the same over whole tables.
+SQL: dict[str, str] = {
+    "p1_found": (
+        f"WITH w AS (SELECT chunk_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {_TEXTS}), "
+        "s AS (SELECT DISTINCT chunk_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) > 2), "
+        "n AS (SELECT chunk_id, count(*) AS n FROM s GROUP BY chunk_id HAVING count(*) >= 20), "
+        "p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL) "
+        "SELECT a AS chunk_id_a, b AS chunk_id_b FROM p JOIN n x ON x.chunk_id = a JOIN n y ON y.chunk_id = b WHERE 10 * c >= 6 * (x.n + y.n - c)"
+    ),
+    "p5_found": f"SELECT chunk_id FROM {_TEXTS} WHERE len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^{_SPACE}]')) > 350",
+}
