@@ -73,9 +73,13 @@ def dense_scores(rows: DataFrame, queries: DataFrame, k: int, row_block: int = 5
 
 
 def stored_vectors(index: DataFrame, dim: int = 384) -> DataFrame:
-    """(row, row_no, doc_id, v, scale) of a vector table: one row a chunk, without damaged vectors; a bad scale counts as 1."""
+    """(row, row_no, doc_id, v, scale) of a vector table: one row a chunk, without damaged vectors.
+
+    A scale that is null, not a number or not positive is replaced by the one that makes the vector as long as one.
+    """
     w = Window.partitionBy("chunk_id").orderBy("row_no")
     good = index.where((F.size("vectors") == dim) & ~F.exists("vectors", lambda x: x.isNull()) & F.exists("vectors", lambda x: x != 0) & F.col("chunk_id").isNotNull())
     s = F.col("scales").cast("double")
-    scale = F.when(s.isNull() | F.isnan(s) | (s <= 0), F.lit(1.0)).otherwise(s)
+    own = 1 / F.sqrt(F.aggregate("vectors", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    scale = F.when((s > 0) & (s < 1e30), s).otherwise(own)
     return good.withColumn("rn", F.row_number().over(w)).where("rn = 1").select(F.col("chunk_id").alias("row"), "row_no", "doc_id", F.col("vectors").alias("v"), scale.alias("scale"))

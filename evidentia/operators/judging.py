@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import overlap_pairs
+
 METRICS = ("recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10")
 
 
@@ -15,10 +17,14 @@ def gold_spans(items: DataFrame) -> DataFrame:
 
 
 def gold_overlaps(spans: DataFrame, chunks: DataFrame, least: int = 30) -> DataFrame:
-    """(qid, grp, chunk_id): chunks that share at least `least` characters with a span, or the whole of a shorter one."""
-    c = chunks.select("chunk_id", "doc_id", "char_start", "char_end").where("doc_id IS NOT NULL")
+    """(qid, grp, chunk_id): chunks that share at least `least` characters with a span, or the whole of a shorter one.
+
+    The join runs over bins of a document, so that one with very many chunks and spans spreads out.
+    """
+    c = chunks.select("chunk_id", "doc_id", "char_start", "char_end")
     shared = F.least("char_end", "ge") - F.greatest("char_start", "gs")
-    return spans.join(c, "doc_id").where(shared >= F.least(F.lit(least), F.col("ge") - F.col("gs"))).select("qid", "grp", "chunk_id").distinct()
+    enough = shared >= F.least(F.lit(least), F.col("ge") - F.col("gs"))
+    return overlap_pairs(spans, c, "doc_id", ("gs", "ge"), ("char_start", "char_end"), residual=enough).select("qid", "grp", "chunk_id").distinct()
 
 
 def score_rankings(hits: DataFrame, relevant: DataFrame, spans: DataFrame) -> DataFrame:

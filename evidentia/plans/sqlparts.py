@@ -16,7 +16,7 @@ ASKED = f"(SELECT id AS qid, question AS text FROM {GOLD} WHERE question IS NOT
 RESULTS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY recorded_at) AS rn FROM item_results) WHERE rn = 1)"
 DETAILS = "(SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY run_id, id ORDER BY provider) AS rn FROM item_details) WHERE rn = 1)"
 VECTORS = (
-    "(SELECT chunk_id AS row, row_no, doc_id, vectors AS v, CASE WHEN scales IS NULL OR isnan(scales) OR scales <= 0 THEN 1.0::DOUBLE ELSE scales::DOUBLE END AS scale FROM "
+    "(SELECT chunk_id AS row, row_no, doc_id, vectors AS v, CASE WHEN scales > 0 AND CAST(scales AS VARCHAR) NOT LIKE '%nan%' THEN scales::DOUBLE ELSE 1 / sqrt(list_sum(list_transform(vectors, lambda x: x::DOUBLE * x::DOUBLE))) END AS scale FROM "
     "(SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY row_no) AS rn FROM index_vectors WHERE len(vectors) = 384 AND chunk_id IS NOT NULL "
     "AND len(list_filter(vectors, lambda x: x IS NULL)) = 0 AND len(list_filter(vectors, lambda x: x <> 0)) > 0) WHERE rn = 1)"
 )
@@ -45,7 +45,7 @@ def bm25(where: str = "") -> str:
         "stats AS (SELECT count(*) AS n, floor(sum(len(toks)) / greatest(count(*), 1) * 1000 + 0.5) / 1000 AS avgdl FROM dt), "
         "df AS (SELECT term, count(*) AS df FROM post GROUP BY term), "
         "qterm AS (SELECT DISTINCT qid, unnest(toks) AS term FROM qt), "
-        "scores AS (SELECT qid, row, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score "
+        "scores AS (SELECT qid, row, CAST(sum(CAST(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) * 1e9) AS BIGINT)) AS DOUBLE) / 1e9 AS score "
         f"FROM qterm JOIN df USING (term) JOIN post USING (term), stats {where} GROUP BY qid, row)"
     )
 
