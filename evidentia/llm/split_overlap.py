@@ -4,11 +4,12 @@ Questions are brought to words without case, punctuation, courtesy and ways to w
 Words that are one slip away from a far more frequent word are corrected by counts over all
 questions, unless they are known words. The questions that are now equal as sets of words form one
 class each, so copies cost nothing further. Between the classes of both sides runs the prefix-filter
-join: the shingles of a class are its neighbouring words, ordered by rarity; a pair whose Jaccard
-similarity reaches the threshold must share one of the rarest n - ceil(t n) + 1 shingles of either
-side, so only these are indexed (evaluation) and probed (training). Length and position filters cut
-the rest; the word sets of what is left are compared exactly, and a pair is kept only where they differ
-by slips of spelling.
+join, which gives all pairs, those of one class included. Its shingles are the words of a class, so
+order does not matter and a slip costs one shingle; its threshold are the slips that a question may
+hold, s(n) for n distinct words (see `allowed_slips`). Two classes that differ by at most that many
+words on either side share two of the s(n) + 2 rarest words of both, or one where there are fewer, so
+only pairs of these words are indexed (evaluation) and probed (training). The word sets of the
+candidates are compared exactly, and a pair is kept where they are equal or differ by slips of spelling.
 """
 
 from __future__ import annotations
@@ -99,57 +100,71 @@ def canonical(items: DataFrame, known: DataFrame | None) -> tuple[DataFrame, Dat
     return back.select("id", "side", F.col("w.word").alias("words")), counts
 
 
-def split_overlaps(
-    items: DataFrame, id_col: str, question: str, split: str, *, train: str = "train", held: tuple[str, ...] = ("dev", "test"),
-    known: DataFrame | None = None, similarity: float = 0.75,
-) -> DataFrame:
-    """(train_id, held_id): every pair of a training and a held-out item that ask the same question.
+def allowed_slips(n):
+    """Uncorrected slips that a question of n distinct words may hold: a sixth of the words, two at least, and never all."""
+    return F.greatest(F.lit(0), F.least(n - 1, F.greatest(F.lit(2), F.floor(n / 6)))).cast("int")
 
-    known(word): words that are right as they are, such as names. Null ids, questions and splits, and
-    questions without words, are in no pair. Splits are read without case and blanks; other splits take
-    no part. An item delivered twice counts once. Equal questions are all paired. An empty side gives no row.
+
+def class_pairs(classes: DataFrame) -> DataFrame:
+    """(kt, kh, a, b): classes(key, words, t, h) of both sides, equal ones included, with the words that only one has.
+
+    None is left out that differs by no more than allowed_slips() of either class on each side.
     """
+    sized = classes.select("key", "t", "h", F.size("words").alias("n"), "words").withColumn("s", allowed_slips(F.col("n")))
+    each = cut_lineage(sized.select("key", "t", "h", "n", "s", F.explode("words").alias("word")))
+    rarity = each.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = each.join(rarity, "word").groupBy("key", "t", "h", "n", "s").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "word"))), lambda x: x["word"]).alias("g"))
+    pairs = "flatten(transform(p, (x, i) -> transform(slice(p, i + 2, size(p)), y -> concat(x, ' ', y))))"
+    signed = ranked.withColumn("p", F.expr("slice(g, 1, s + 2)")).withColumn("sig", F.expr(f"if(n < s + 2, concat(p, {pairs}), {pairs})"))
+    prefix = cut_lineage(signed.select("key", "t", "h", "n", "s", F.explode("sig").alias("sig")))
+    t = prefix.where("t").select(F.col("key").alias("kt"), F.col("n").alias("nt"), F.col("s").alias("st"), "sig")
+    h = prefix.where("h").select(F.col("key").alias("kh"), F.col("n").alias("nh"), F.col("s").alias("sh"), "sig")
+    met = t.join(h, "sig").where(F.abs(F.col("nt") - F.col("nh")) <= F.least("st", "sh")).select("kt", "kh", F.least("st", "sh").alias("s")).distinct()
+    diff = met.select("kt", "kh", "s", F.array_except(F.split("kt", " "), F.split("kh", " ")).alias("a"), F.array_except(F.split("kh", " "), F.split("kt", " ")).alias("b"))
+    return diff.where((F.size("a") <= F.col("s")) & (F.size("b") <= F.col("s"))).drop("s")
+
+
+def slip_overlaps(
+    items: DataFrame, id_col: str, question: str, split: str, *, train: str = "train", held: tuple[str, ...] = ("dev", "test"),
+    known: DataFrame | None = None, rarer: int = 10,
+) -> DataFrame:
+    """(train_id, held_id, slips): as split_overlaps(), with the number of words that differ; 0 for equal questions."""
     side = F.lower(F.trim(F.regexp_replace(F.col(split), r"(?U)\s+", "")))
     rows = items.select(F.col(id_col).alias("id"), F.when(side == train, "t").when(side.isin(*held), "h").alias("side"), F.col(question).alias("question"))
     rows = rows.where("id IS NOT NULL AND side IS NOT NULL AND question IS NOT NULL").dropDuplicates(["id"])
-    asked, counts = canonical(rows, known)
+    asked, _ = canonical(rows, known)
     asked = cut_lineage(asked.withColumn("key", F.array_join(F.array_sort(F.array_distinct("words")), " ")))
     members = asked.select("key", "side", "id").repartition("key")
-    classes = asked.groupBy("key", "side").agg(F.min("words").alias("words"))
-    # shingles with their rarity, over all classes
-    grams = classes.select("key", "side", "words", F.expr("array_distinct(transform(sequence(1, greatest(1, size(words) - 1)), i -> concat_ws(' ', words[i - 1], words[i])))").alias("g"))
-    grams = grams.withColumn("n", F.size("g"))
-    each = cut_lineage(grams.select("key", "side", "n", F.explode("g").alias("gram")))
-    rarity = each.groupBy("gram").agg(F.count("*").alias("df"))
-    ranked = each.join(rarity, "gram").groupBy("key", "side", "n").agg(F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))
-    prefix = ranked.select("key", "side", "n", F.posexplode(F.expr(f"slice(g, 1, cast(n - ceil({similarity} * n) + 1 AS int))")).alias("pos", "x")).select("key", "side", "n", "pos", "x.gram")
-    prefix = cut_lineage(prefix)
-    t = prefix.where("side = 't'").select(F.col("key").alias("kt"), F.col("n").alias("nt"), F.col("pos").alias("pt"), "gram")
-    h = prefix.where("side = 'h'").select(F.col("key").alias("kh"), F.col("n").alias("nh"), F.col("pos").alias("ph"), "gram")
-    s = F.lit(similarity)
-    need = F.ceil(s / (1 + s) * (F.col("nt") + F.col("nh")) - 1e-9)
-    pairs = t.join(h, "gram").where(
-        (F.col("nt") >= F.ceil(s * F.col("nh") - 1e-9)) & (F.col("nh") >= F.ceil(s * F.col("nt") - 1e-9))  # lengths
-        & (1 + F.least(F.col("nt") - F.col("pt"), F.col("nh") - F.col("ph")) - 1 >= need - F.least("pt", "ph"))  # positions
-        & (F.col("kt") != F.col("kh"))
-    )
-    pairs = pairs.select("kt", "kh").distinct()
-    # different classes are one question only if they differ by slips in rare words
-    diff = pairs.select("kt", "kh", F.array_except(F.split("kt", " "), F.split("kh", " ")).alias("a"), F.array_except(F.split("kh", " "), F.split("kt", " ")).alias("b"))
-    diff = cut_lineage(diff.where((F.size("a") == F.size("b")) & F.size("a").between(1, 2)))
+    classes = cut_lineage(asked.groupBy("key").agg(F.max(F.col("side") == "t").alias("t"), F.max(F.col("side") == "h").alias("h")).withColumn("words", F.split("key", " ")))
+    diff = cut_lineage(class_pairs(classes))
+    equal = diff.where("kt = kh").select("kt", "kh", F.lit(0).alias("slips"))
+    # different classes are one question only if they differ by slips, each in a word that is rare or much rarer than the other
+    diff = diff.where((F.size("a") == F.size("b")) & (F.size("a") > 0))
     cross = diff.select("kt", "kh", F.size("a").alias("k"), F.explode("a").alias("x"), "b").select("kt", "kh", "k", "x", F.explode("b").alias("y"))
     cross = cross.where((F.length("x") >= 3) & F.col("x").rlike(r"^\p{L}+$") & F.col("y").rlike(r"^\p{L}+$")).where(one_slip(F.col("x"), F.col("y")))
+    counts = classes.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     cx, cy = counts.select(F.col("word").alias("x"), F.col("n").alias("cx")), counts.select(F.col("word").alias("y"), F.col("n").alias("cy"))
-    cross = cross.join(cx, "x").join(cy, "y").where(F.least("cx", "cy") <= 2)
+    cross = cross.join(cx, "x").join(cy, "y").where(F.least("cx", "cy") <= F.greatest(F.lit(2), F.greatest("cx", "cy") / rarer))
     if known is not None:
         kx, ky = known.select(F.col("word").alias("x"), F.lit(1).alias("ox")), known.select(F.col("word").alias("y"), F.lit(1).alias("oy"))
         cross = cross.join(kx, "x", "left").join(ky, "y", "left").where("ox IS NULL OR oy IS NULL")
-    slips = cross.groupBy("kt", "kh", "k").agg(F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("nx = k AND ny = k").select("kt", "kh")
+    near = cross.groupBy("kt", "kh", "k").agg(F.countDistinct("x").alias("nx"), F.countDistinct("y").alias("ny")).where("nx = k AND ny = k")
+    found = equal.unionAll(near.select("kt", "kh", F.col("k").alias("slips")))
     mt = members.where("side = 't'").select(F.col("key").alias("kt"), F.col("id").alias("train_id"))
     mh = members.where("side = 'h'").select(F.col("key").alias("kh"), F.col("id").alias("held_id"))
-    same = mt.join(mh, F.col("kt") == F.col("kh")).select("train_id", "held_id")
-    near = slips.join(mt, "kt").join(mh, "kh").select("train_id", "held_id")
-    return same.unionAll(near)
+    return found.join(mt, "kt").join(mh, "kh").select("train_id", "held_id", "slips")
+
+
+def split_overlaps(items: DataFrame, id_col: str, question: str, split: str, **how) -> DataFrame:
+    """(train_id, held_id): every pair of a training and a held-out item that ask the same question.
+
+    known(word): words that are right as they are, such as names. Null ids, questions and splits, and
+    questions without words, are in no pair. Splits are read without case and blanks; other splits take
+    no part. An item delivered twice counts once. Equal questions are all paired; others where they
+    differ in allowed_slips() words at most, each one slip from its counterpart, one of the two in at
+    most two distinct questions or `rarer` times rarer than the other. An empty side gives no row.
+    """
+    return slip_overlaps(items, id_col, question, split, **how).select("train_id", "held_id")
 
 
 def known_words(names: DataFrame, column: str) -> DataFrame:

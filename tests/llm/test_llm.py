@@ -111,6 +111,42 @@ def test_overlaps(spark):
     assert split_overlap.split_overlaps(df.where("false"), "id", "question", "split").count() == 0
 
 
+def test_slips_in_rare_words_and_any_order(spark):
+    rows = [("t1", "Headcount of Velmar Works at Opal Gate, 2019?", "train"), ("t2", "Headcount of Velmar Works at Teal Gate, 2019?", "train"), ("t3", "Velmar Works 2019 dividends", "train")]
+    rows += [
+        ("h1", "Headcount of Velmar Works at Opla Gate, 2019?", "dev"), ("h2", "Opal Gate headcuont at Velmar Works of 2019", "test"), ("h3", "Opal Gaet headcuont at Velmar Works of 2019", "test"),
+        ("h4", "Gate Opal, at Works Velmar of headcount 2019", "dev"), ("h5", "Headcount of Velmar Works at Opal Gate, 2018?", "dev"), ("h6", "dividneds Velmar Works 2019", "test"),
+    ]
+    df = spark.createDataFrame(rows, "id string, question string, split string")
+    got = {tuple(r) for r in split_overlap.slip_overlaps(df, "id", "question", "split").collect()}
+    assert got == {("t1", "h1", 1), ("t1", "h2", 1), ("t1", "h3", 2), ("t1", "h4", 0), ("t3", "h6", 1)}
+
+
+def test_a_slip_made_often_is_still_rare_beside_its_word(spark):
+    ask = lambda w, i: f"{w} of {WORDS[i]} near {WORDS[i + 1]} 2019"
+    rows = [(f"t{i}", ask("wagons", i), "train") for i in range(50)] + [(f"h{i}", ask("wagosn", i), "dev") for i in range(3)]
+    df = spark.createDataFrame(rows, "id string, question string, split string")
+    assert {tuple(r) for r in split_overlap.split_overlaps(df, "id", "question", "split").collect()} == {(f"t{i}", f"h{i}") for i in range(3)}
+
+
+def test_class_pairs_miss_none_within_the_slips(spark):
+    rng = random.Random(8)
+    sets = {frozenset(rng.sample(WORDS, n)) for n in (1, 2, 3, 4, 5, 7, 12, 18, 20) for _ in range(12)}
+    for s in list(sets):
+        w = sorted(s)
+        for k in (1, 2, 3, 4):
+            sets.add(frozenset(rng.sample(w, max(0, len(w) - k)) + rng.sample(WORDS, k)))
+    rows = [(" ".join(sorted(s)), sorted(s), rng.random() < 0.6, rng.random() < 0.6) for s in sets]
+    df = spark.createDataFrame(rows, "key string, words array<string>, t boolean, h boolean")
+    got = [(r["kt"], r["kh"]) for r in split_overlap.class_pairs(df).collect()]
+    allowed = lambda n: max(0, min(n - 1, max(2, n // 6)))
+    want = {
+        (a, b) for a, x, t, _ in rows for b, y, _, h in rows
+        if t and h and max(len(set(x) - set(y)), len(set(y) - set(x))) <= min(allowed(len(x)), allowed(len(y)))
+    }
+    assert set(got) == want and len(got) == len(want) and len(want) > 100
+
+
 # ---- defective pairs
 
 
