@@ -53,9 +53,13 @@ def shard_of(key: Column) -> Column:
     return F.when(key == "", F.lit("c5")).otherwise(F.lpad(F.lower(F.hex(h % 256)), 2, "0"))
 
 
+#: White space as a JavaScript pattern has it; Java's own class has U+0085 and lacks U+FEFF.
+JS_BLANKS = r"\t\n\x{000B}\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+
+
 def normalize_question(q: Column) -> Column:
-    """The form of a question that cache keys use: lower case, single blanks, no end punctuation."""
-    return F.trim(F.regexp_replace(F.trim(F.regexp_replace(F.lower(q), r"(?U)\s+", " ")), r"[?!.\s]+$", ""))
+    """The form of a question that cache keys use: lower case, single blanks, no end punctuation; for any script."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(q), f"[{JS_BLANKS}]+", " ")), r"[?!. ]+\z", "")
 
 
 def answer_key(question: Column, config: Column, chunk_ids: Column, versions: Column) -> Column:

@@ -144,13 +144,24 @@ def source_labels(spark, d):
     return j.select("chunk_id", T.source_label(F.col("company"), F.col("ticker"), F.col("fy"), F.col("form"), F.col("item"), F.col("heading_path")).alias("label"))
 
 
+def _cache_keys(spark, d):
+    from .retrieval import gold
+
+    g = gold(spark, d).where("question IS NOT NULL AND companies IS NOT NULL")
+    key = T.answer_key(F.col("question"), F.lit("default"), F.col("companies"), F.lit("v1")).alias("key")
+    return g.select("id", key, (~F.col("question").rlike(r"[^\x00-\x7f]")).alias("ascii"))
+
+
 @query(f"SELECT id, sha256('v1|default|' || trim(regexp_replace(trim(regexp_replace(lower(question), '\\s+', ' ', 'g')), '[?!.\\s]+$', '')) || '|' || array_to_string(list_sort(companies), ',')) AS key FROM {P.GOLD} WHERE question IS NOT NULL AND companies IS NOT NULL AND NOT regexp_matches(question, '[^\\x00-\\x7f]')")
 def answer_cache_keys(spark, d):
-    """Cache keys of questions; the company list stands for the chunk list."""
-    from .retrieval import gold
+    """Cache keys of the questions in ASCII only, as its SQL has it; `answer_cache_keys_all` has those of every question."""
+    return _cache_keys(spark, d).where("ascii").select("id", "key")
+
 
-    g = gold(spark, d).where("question IS NOT NULL AND companies IS NOT NULL").where(~F.col("question").rlike(r"[^\x00-\x7f]"))
-    return g.select("id", T.answer_key(F.col("question"), F.lit("default"), F.col("companies"), F.lit("v1")).alias("key"))
+@query(f"SELECT id, sha256('v1|default|' || regexp_replace(trim(regexp_replace(lower(question), '[{T.JS_BLANKS}]+', ' ', 'g')), '[?!. ]+$', '') || '|' || array_to_string(list_sort(companies), ',')) AS key FROM {P.GOLD} WHERE question IS NOT NULL AND companies IS NOT NULL")
+def answer_cache_keys_all(spark, d):
+    """Cache keys of every question, in any script; the company list stands for the chunk list."""
+    return _cache_keys(spark, d).select("id", "key")
 
 
 @query(f"SELECT chunk_id FROM {P.CHUNKS} c WHERE doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM manifest m WHERE m.doc_id = c.doc_id) UNION ALL SELECT chunk_id FROM {P.CHUNKS} WHERE doc_id IS NULL")

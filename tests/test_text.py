@@ -121,3 +121,20 @@ def test_html():
 
 def test_percent_text(spark):
     assert one(spark, T.percent_text(F.col("x")), x=0.1234) == "12.3%" and not math.isnan(1.0)
+
+
+def test_every_question_has_a_cache_key(spark, tmp_path):
+    from hashlib import sha256
+
+    from evidentia.plans import queries as core
+
+    asked = {
+        "a": ("Wie hoch war der\u00a0UMSATZ für Öl\u2003in 2021 ?!", "wie hoch war der umsatz für öl in 2021"), "b": ("¿Cuál fue el valor de «deferred revenue»?\u2028", "¿cuál fue el valor de «deferred revenue»"),
+        "c": ("\ufeffWhat’s the  ÉTAT\u3000?\u202f. ", "what’s the état"), "d": ("売上高は？", "売上高は？"), "e": ("Net\u0085sales?\u0085", "net\u0085sales?\u0085"), "f": ("  What   were SALES?? ", "what were sales"),
+    }
+    rows = [(k, q, ["b", "a"]) for k, (q, _) in asked.items()] + [("g", None, ["a"]), ("h", "É?", None), ("a", asked["a"][0], ["b", "a"])]
+    spark.createDataFrame(rows, "id string, question string, companies array<string>").write.parquet(str(tmp_path / "gold_items.parquet"))
+    want = {k: sha256(f"v1|default|{n}|a,b".encode()).hexdigest() for k, (_, n) in asked.items()}
+    got = [tuple(r) for r in core.QUERIES["answer_cache_keys_all"](spark, str(tmp_path)).select("id", "key").collect()]
+    assert sorted(got) == sorted(want.items())
+    assert [tuple(r) for r in core.QUERIES["answer_cache_keys"](spark, str(tmp_path)).collect()] == [("f", want["f"])]
