@@ -68,6 +68,7 @@ _PER_SHARE = re.compile(r"\s*(?:per|a|/)\s?(?:basic |diluted |common |ordinary )
 _RIGHT = re.compile(rf"\s*(?:({_ANY_SCALE})(?![\w²³]))?\s*(?:({_ANY_UNIT})(?![\w²³]))?", re.I)
 _ASKED = re.compile(r"\((?:expressed |given |stated )?in ([^()]{1,60})\)", re.I)
 _HEADER = re.compile(r"\(([^()]*)\)")
+_STOP = re.compile(r"[.!?;]\s+(?=[\"'«(]?[A-Z])|\n")
 
 Reading = tuple[str, Decimal]
 
@@ -157,7 +158,7 @@ def solve(columns: list[list[float]], exponents: list[int]) -> tuple[tuple[int,
     columns[i] holds log(value * factor) of each reading of column i. Gives the indices, the residual
     and whether no other combination fits as well (within 0.01).
     """
-    best = sorted((abs(sum(e * columns[i][k] for i, (e, k) in enumerate(zip(exponents, pick, strict=True)))), pick) for pick in product(*(range(len(c)) for c in columns)))
+    best = sorted(((abs(sum(e * columns[i][k] for i, (e, k) in enumerate(zip(exponents, pick, strict=True)))), pick) for pick in product(*(range(len(c)) for c in columns))), key=lambda x: (round(x[0], 9), x[1]))
     r, pick = best[0]
     unique = len(best) == 1 or best[1][0] - r > 0.01
     return pick, r, unique
@@ -166,24 +167,41 @@ def solve(columns: list[list[float]], exponents: list[int]) -> tuple[tuple[int,
 def decide(number: Decimal, readings: list[Reading], other: list[tuple[str | None, float]]) -> tuple[str, int, float | None, bool]:
     """(common unit, amount, residual, unique) of a figure, given other amounts of the same quantity.
 
-    other: (common unit or None where unknown, amount); the identity is figure * factor = other amount.
+    other: (common unit or None where unknown, amount); the identity is figure * factor = other amount,
+    where all other amounts of the figure's common unit are alternatives of one column.
     """
     residual, unique, pick = None, len({f for _, f in readings}) == 1, 0
     logs = [math.log(abs(float(number * f))) for _, f in readings] if number else []
-    for c, x in other:
-        if not logs or not x or not math.isfinite(x):
-            continue
-        if c is None:  # the same unit, but perhaps without its scale: decides nothing, only checks
-            ratio = math.log(abs(float(number))) - math.log(abs(x))
-            residual = min(abs(ratio - k * math.log(1000)) for k in range(-4, 5))
-        elif c == readings[0][0]:
-            (pick, _), residual, alone = solve([logs, [math.log(abs(x))]], [1, -1])
-            unique = unique or alone
-            break
+    usable = [(c, math.log(abs(x))) for c, x in other if logs and x and math.isfinite(x)]
+    if column := [x for c, x in usable if c == readings[0][0]]:
+        (pick, _), residual, alone = solve([logs, column], [1, -1])
+        unique = unique or alone
+    elif unknown := [x for c, x in usable if c is None]:  # the same unit, but perhaps without its scale: decides nothing, only checks
+        ratio = math.log(abs(float(number))) - unknown[-1]
+        residual = min(abs(ratio - k * math.log(1000)) for k in range(-4, 5))
     common, factor = readings[pick]
     return common, int((number * factor).to_integral_value(ROUND_HALF_UP)), residual, unique
 
 
+def restated(text: str, start: int, end: int, number: Decimal, readings: list[Reading]) -> list[tuple[str, float]]:
+    """The amounts that state the quantity of text[start:end] again, in a unit of one reading, as in '12 tons (10,886 kg)'.
+
+    Looked for in the same sentence or line, and only where readings differ; an amount that no reading meets within 2 % is another quantity.
+    """
+    if not number or len({f for _, f in readings}) == 1:
+        return []
+    left = max((m.end() for m in _STOP.finditer(text, 0, start)), default=0)
+    right = m.start() if (m := _STOP.search(text, end)) else len(text)
+    out = []
+    for m in _NUMBER.finditer(text, left, right):
+        if m.start() < end and m.end() > start:
+            continue
+        x, units = figure(text, m.start(), m.end())
+        if x and len(units) == 1 and any(c == units[0][0] and abs(math.log(abs(number * f / (x * units[0][1])))) <= 0.02 for c, f in readings):
+            out.append((units[0][0], float(x * units[0][1])))
+    return out
+
+
 def _exact(x) -> Decimal | None:
     return Decimal(repr(float(x))) if x is not None and math.isfinite(x) else None
 
@@ -192,12 +210,15 @@ def gold_amount(value, unit: str | None, question: str | None, answer: str | Non
     """The amount of a gold item: its unit field holds for its value; otherwise answer and question hold."""
     number, readings = _exact(value), unit_readings(unit)
     printed = figure(answer, 0, len(answer)) if answer else None
+    at = _NUMBER.search(answer) if answer else None
+    again = lambda n, r: restated(answer, at.start(), at.end(), n, r)
     if number is not None and readings:
         other = [(c, float(printed[0] * f)) for c, f in printed[1]] if printed else []
-        return decide(number, readings, other)
+        more = again(number, readings) if printed else []
+        return decide(number, readings, more if more and len(other) > 1 else other + more)
     asked = _ASKED.search(question or "")
     if printed and printed[1]:
-        return decide(printed[0], printed[1], [(None, float(value))] if number is not None else [])
+        return decide(printed[0], printed[1], ([(None, float(value))] if number is not None else []) + again(*printed))
     readings = readings or (unit_readings(asked[1]) if asked else [])
     number = printed[0] if printed else number
     return decide(number, readings, []) if readings and number is not None else None
@@ -217,7 +238,11 @@ def mention_amount(raw: str | None, start, end, value, text: str | None):
         return None
     number, readings = found
     readings = readings or table_header(text, int(start))
-    return decide(number, readings, [(None, float(value))] if value is not None and math.isfinite(value) else []) if readings else None
+    if not readings:
+        return None
+    at = _NUMBER.search(text, int(start), int(end))
+    other = [(None, float(value))] if value is not None and math.isfinite(value) else []
+    return decide(number, readings, other + restated(text, at.start(), at.end(), number, readings))
 
 
 _OUT = "table_name string, rec_key string, common_unit string, amount long, residual double, is_unique boolean"

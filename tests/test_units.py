@@ -43,6 +43,20 @@ def test_identity_chooses_the_unit():
     assert units.solve([[0.0, 0.001], [0.0]], [1, -1])[2] is False  # two readings fit alike
 
 
+def test_tons_are_decided_by_other_amounts():
+    def mention(text, raw, value=None):
+        return units.mention_amount(raw, text.index(raw), text.index(raw) + len(raw), value, text)
+
+    common, amount, residual, unique = mention("It used 12 tons (10,886 kg) of ore.", "12", 12.0)
+    assert (common, amount, unique) == ("kg", 10886, True) and residual < 0.001
+    assert mention("Some 24,000 pounds, or 12 tons, of ore", "12")[1:4:2] == (10886, True)
+    assert mention("It used 12 tons of ore. Others used 10,886 kg.", "12")[1:4:2] == (12000, False)  # another sentence
+    assert mention("It used 12 tons of ore and 50 kg of tin.", "12")[1:4:2] == (12000, False)  # another quantity
+    # both columns of a gold item may be read in two ways: nothing is decided
+    assert units.gold_amount(2.04, "tons", None, "2 tons")[1:4:2] == (2040, False)
+    assert units.gold_amount(2.0, "tons", None, "2 tons (4,000 pounds)")[1:4:2] == (1814, True)
+
+
 def test_tables_with_nulls_and_clashing_names(spark):
     g = spark.createDataFrame([("a", None, None, None), ("b", None, "5 kg", (None, None, None)), ("b", None, "5 kg", (None, None, None)), (None, "q", "1 kg", (1.0, "kg", 0.1))], "id string, question string, gold_answer string, gold_numeric struct<value:double,unit:string,tolerance:double>").selectExpr("*", "1 AS k", "2 AS value")
     m = spark.createDataFrame([(1, "x", "7", 0, 1, None), (1, "x", "7", 0, 1, None), (2, None, "8 t", None, None, float("nan")), (3, "x", None, None, None, None)], "mention_id long, chunk_id string, raw string, char_start int, char_end int, value double")
