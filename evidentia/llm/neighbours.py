@@ -30,6 +30,8 @@ from ..session import cut_lineage
 #: Rows that the rotation is fitted on; rows of an index block and of a query block.
 FIT_ROWS, INDEX_BLOCK, QUERY_BLOCK = 6144, 120_000, 60_000
 SUB_BITS = 16
+#: Pairs of a query and a row that the scan ranks at once.
+MOST_TIED = 2_000_000
 
 
 def fit_rotation(x: np.ndarray, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -146,13 +148,17 @@ def best(index: Index, qfloat, qnorm, q, i, k: int, offset: int, most: int = 50_
 def scan(index: Index, ints: np.ndarray, k: int, step: int = 256):
     """As search(), against every row of the block."""
     qnorm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
-    qfloat, out, top = ints.astype(np.float32), [], min(len(index.ints), k + 24)
+    qfloat, out, top = ints.astype(np.float32), [], min(len(index.ints), k + 1)
     floats = index.ints.astype(np.float32).T
     for a in range(0, len(ints), step):
         cos = (qfloat[a : a + step] @ floats).astype(np.float64) / index.norm
-        i = np.argpartition(-cos, top - 1, axis=1)[:, :top] if top < cos.shape[1] else np.tile(np.arange(cos.shape[1]), (len(cos), 1))
-        q = np.repeat(np.arange(len(cos)), i.shape[1])
-        out.append(best(index, qfloat[a : a + step], qnorm[a : a + step], q, i.ravel(), k, a))
+        least = -np.partition(-cos, top - 1, axis=1)[:, top - 1]
+        # every row that ties with the last one kept, for best() to break ties by id; the slack is for rounding
+        tied = cos >= (least - 1e-12 * np.abs(least))[:, None]
+        part = max(1, MOST_TIED // max(1, int(tied.sum(axis=1).max())))
+        for c in range(0, len(tied), part):
+            q, i = np.nonzero(tied[c : c + part])
+            out.append(best(index, qfloat[a : a + step], qnorm[a : a + step], q + c, i, k, a))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
 
 

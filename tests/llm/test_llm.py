@@ -237,6 +237,20 @@ def test_neighbours_match_brute_force(spark):
     assert few.count() == 6 and neighbours.nearest_neighbours(df.where("false"), "chunk_id", "vectors", "row_no", dim=64).count() == 0
 
 
+def test_scan_breaks_ties_by_id(monkeypatch):
+    rng = np.random.default_rng(12)
+    x = rng.integers(-90, 90, (400, 32)).astype(np.int8)
+    x[rng.permutation(400)[:150]] = x[7]
+    index = neighbours.Index(x, *neighbours.fit_rotation(neighbours.units(x)))
+    f = x.astype(float)
+    cos = (f @ f.T) / np.sqrt((f * f).sum(1))
+    want = [sorted(range(400), key=lambda j: (-round(cos[i, j], 6), j))[:6] for i in range(400)]
+    for most in (neighbours.MOST_TIED, 10):
+        monkeypatch.setattr(neighbours, "MOST_TIED", most)
+        q, i, _ = neighbours.scan(index, x, 5)
+        assert [i[q == a].tolist() for a in range(400)] == want
+
+
 # ---- encoding
 
 
