@@ -5,8 +5,9 @@ labels: every sentence of a labelled document first carries all of the document'
 annotators saw them), and the words of a subject's name and description carry that subject. One
 logistic model per subject is fitted on a bounded, hash-ordered sample of labelled documents; then
 each sentence keeps a subject of its document only where the model sees it, and the models are
-fitted again, so that general sentences end up with none. A threshold per subject is calibrated on
-a held-out part of the sample. Every document is then scored: a sentence deals with the subjects
+fitted again, so that general sentences end up with none. A threshold per subject is calibrated by
+cross-validation, at every size of the sample: each half of its documents is scored by models fitted
+on the other half; the models themselves are fitted on all. Every document is then scored: a sentence deals with the subjects
 above their thresholds, and a document has those subjects that at least a third of its dealing
 sentences deal with.
 """
@@ -130,6 +131,52 @@ def decide(dealing: np.ndarray, doc: np.ndarray, n_docs: int, share: float = SHA
     return (per > 0) & (per >= share * total[:, None] - 1e-9)
 
 
+def _fitted(split: list[list[str]], soft: np.ndarray, hint_rows: list[list[str]], words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, biases) of the models of sentences with the subjects of their documents; hint_rows[i] stands for subject i."""
+    rows = Rows(split + hint_rows * 3, words)
+    eye = np.tile(np.eye(len(hint_rows), dtype=np.float32), (3, 1))
+    soft = np.concatenate([soft, eye])
+    w, b = fit(rows, soft)
+    base = soft.mean(axis=0)
+    sure = base + 0.3 * (1 - base)  # clearly above what a sentence on nothing gets
+    for _ in range(2):
+        p = sigmoid(rows.scores(w, b))
+        best = np.where(soft > 0, p, 0).max(axis=1, keepdims=True)
+        hard = ((soft > 0) & (p >= sure) & (p >= best - 1e-6)).astype(np.float32)
+        hard[len(split) :] = eye
+        # a sentence that clearly deals with a subject its document was not labelled with stays out of that fit
+        stray = (soft == 0) & (p >= np.maximum(0.6, sure))
+        w, b = fit(rows, np.where(stray, 1.0, hard).astype(np.float32))
+    return w, b
+
+
+def calibrate(p: np.ndarray, doc: np.ndarray, doc_y: np.ndarray) -> np.ndarray:
+    """The threshold of each subject that serves best, from scores p that models gave to sentences they were not fitted on."""
+    limits = np.full(doc_y.shape[1], 0.5, np.float32)
+    for _ in range(2):
+        for j in range(len(limits)):
+            good = []
+            for c in (0.35, 0.5, 0.65):
+                trial = limits.copy()
+                trial[j] = c
+                got = decide(p >= trial, doc, len(doc_y))[:, j]
+                want = doc_y[:, j] > 0
+                good.append((2 * (got & want).sum() / max(1, got.sum() + want.sum()) + (0.002 if c == 0.5 else 0), c))
+            limits[j] = max(good)[1]
+    return limits
+
+
+def unseen_scores(split: list[list[str]], doc: np.ndarray, doc_y: np.ndarray, hint_rows: list[list[str]], words: Words, seed: int = 7) -> np.ndarray:
+    """Scores of every sentence by models fitted on the half of the documents that its own is not in."""
+    half = np.random.default_rng(seed).permutation(len(doc_y)) % 2
+    p = np.zeros((len(doc), doc_y.shape[1]), np.float32)
+    for side in (0, 1):
+        inside, outside = np.flatnonzero(half[doc] != side), np.flatnonzero(half[doc] == side)
+        w, b = _fitted([split[i] for i in inside], doc_y[doc[inside]], hint_rows, words)
+        p[outside] = sigmoid(Rows([split[i] for i in outside], words).scores(w, b))
+    return p
+
+
 def learn(texts: list[str], labels: list[set[str]], names: list[str], hints: list[str], seed: int = 7) -> Model:
     """Fit on labelled texts; hints[i] describes names[i]."""
     words, where = Words(), {s: i for i, s in enumerate(names)}
@@ -138,42 +185,13 @@ def learn(texts: list[str], labels: list[set[str]], names: list[str], hints: lis
         for s in sentences(t):
             split.append(tokens(s))
             doc.append(i)
-    n_texts = len(texts)
     doc = np.asarray(doc, np.int64)
-    doc_y = np.zeros((n_texts, len(names)), np.float32)
+    doc_y = np.zeros((len(texts), len(names)), np.float32)
     for i, s in enumerate(labels):
         doc_y[i, [where[x] for x in s if x in where]] = 1
     hint_rows = [tokens(f"{n} {h}") for n, h in zip(names, hints, strict=True)]
-    rows = Rows(split + hint_rows * 3, words)
-    eye = np.tile(np.eye(len(names), dtype=np.float32), (3, 1))
-    soft = np.concatenate([doc_y[doc], eye]) if len(doc) else eye
-    w, b = fit(rows, soft)
-    base = soft.mean(axis=0)
-    sure = base + 0.3 * (1 - base)  # clearly above what a sentence on nothing gets
-    for _ in range(2):
-        p = sigmoid(rows.scores(w, b))
-        best = np.where(soft > 0, p, 0).max(axis=1, keepdims=True)
-        hard = ((soft > 0) & (p >= sure) & (p >= best - 1e-6)).astype(np.float32)
-        hard[len(doc) :] = eye
-        # a sentence that clearly deals with a subject its document was not labelled with stays out of that fit
-        stray = (soft == 0) & (p >= np.maximum(0.6, sure))
-        w, b = fit(rows, np.where(stray, 1.0, hard).astype(np.float32))
-    limits = np.full(len(names), 0.5, np.float32)
-    held = np.random.default_rng(seed).random(n_texts) < 0.5
-    if held.sum() >= 200:
-        p = sigmoid(rows.scores(w, b))[: len(doc)]
-        at = held[doc]
-        to = np.cumsum(held) - 1
-        for _ in range(2):
-            for j in range(len(names)):
-                good = []
-                for c in (0.35, 0.5, 0.65):
-                    trial = limits.copy()
-                    trial[j] = c
-                    got = decide(p[at] >= trial, to[doc[at]], int(held.sum()))[:, j]
-                    want = doc_y[held, j] > 0
-                    good.append((2 * (got & want).sum() / max(1, got.sum() + want.sum()) + (0.002 if c == 0.5 else 0), c))
-                limits[j] = max(good)[1]
+    limits = calibrate(unseen_scores(split, doc, doc_y, hint_rows, words, seed), doc, doc_y)
+    w, b = _fitted(split, doc_y[doc], hint_rows, words)
     return Model(names, w, b, limits)
 
 

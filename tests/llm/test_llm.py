@@ -372,3 +372,22 @@ def test_the_share_of_a_third():
     deal = np.array([[1, 0], [1, 0], [0, 1], [0, 0], [1, 0], [1, 0], [1, 0], [0, 1]], bool)
     got = subjects.decide(deal, np.array([0, 0, 0, 0, 1, 1, 1, 1]), 2)
     assert got.tolist() == [[True, True], [True, False]]
+
+
+def test_subject_scores_for_calibration_come_from_unseen_documents():
+    rng = np.random.default_rng(3)
+    # every sentence is of words of its own, so only a model that was fitted on it can know its subject
+    split = [[f"w{i}x{j}" for j in range(6)] for i in range(60)]
+    doc, doc_y = np.arange(60), np.eye(2, dtype=np.float32)[rng.integers(0, 2, 60)]
+    p = subjects.unseen_scores(split, doc, doc_y, [["alpha"], ["beta"]], Words())
+    right = p[np.arange(60), doc_y.argmax(1)] > p[np.arange(60), 1 - doc_y.argmax(1)]
+    assert right.mean() < 0.75
+    w, b = subjects._fitted(split, doc_y, [["alpha"], ["beta"]], Words())
+    q = subjects.sigmoid(subjects.Rows(split, Words()).scores(w, b))
+    assert (q.argmax(1) == doc_y.argmax(1)).mean() > 0.9
+
+
+def test_subject_limits_are_calibrated_at_every_size(monkeypatch):
+    monkeypatch.setattr(subjects, "unseen_scores", lambda split, doc, doc_y, *how: np.where(doc_y[doc] > 0, 0.4, 0.1).astype(np.float32))
+    model = subjects.learn(["Sales rose.", "Staff left."] * 5, [{"a"}, {"b"}] * 5, ["a", "b"], ["sales", "staff"])
+    assert np.allclose(model.limits, 0.35)
