@@ -222,7 +222,7 @@ def _labeller(shared, token: str):
 
 
 def document_subjects(
-    docs: DataFrame, doc_id: str, text: str, subjects: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS
+    docs: DataFrame, doc_id: str, text: str, subjects: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, most_subjects: int = 10_000
 ) -> DataFrame:
     """(doc_id, subject) for every document; subjects(subject, description), labels(doc_id, subject, annotator).
 
@@ -230,10 +230,12 @@ def document_subjects(
     the models; everything else runs over all rows. A label counts if at least half of the document's
     annotators gave it; repeated labels count once. Null or empty texts, and texts without a sentence
     on any subject, have no row. Ids delivered twice count once. Without labels the descriptions alone
-    are learnt from; without subjects there is no row.
+    are learnt from; without subjects there is no row. More than `most_subjects` subjects raise an error.
     """
     spark = docs.sparkSession
-    listed = [(r[0], r[1] or "") for r in subjects.select("subject", "description").where("subject IS NOT NULL").distinct().orderBy("subject").limit(10_000).collect()]
+    listed = [(r[0], r[1] or "") for r in subjects.select("subject", "description").where("subject IS NOT NULL").distinct().orderBy("subject").limit(most_subjects + 1).collect()]
+    if len(listed) > most_subjects:
+        raise ValueError(f"more than {most_subjects} subjects; their models would not fit the driver")
     kind = dict(docs.dtypes)[doc_id]
     rows = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND trim(text) <> ''")
     if not listed:

@@ -391,3 +391,12 @@ def test_subject_limits_are_calibrated_at_every_size(monkeypatch):
     monkeypatch.setattr(subjects, "unseen_scores", lambda split, doc, doc_y, *how: np.where(doc_y[doc] > 0, 0.4, 0.1).astype(np.float32))
     model = subjects.learn(["Sales rose.", "Staff left."] * 5, [{"a"}, {"b"}] * 5, ["a", "b"], ["sales", "staff"])
     assert np.allclose(model.limits, 0.35)
+
+
+def test_too_many_subjects_raise(spark):
+    docs = spark.createDataFrame([(1, "Sales rose.")], "doc_id long, text string")
+    names = spark.createDataFrame([("a", "sales"), ("b", "staff"), ("c", "tax")], "subject string, description string")
+    lab = spark.createDataFrame([(1, "a", "x")], "doc_id long, subject string, annotator string")
+    with pytest.raises(ValueError, match="more than 2 subjects"):
+        subjects.document_subjects(docs, "doc_id", "text", names, lab, most_subjects=2)
+    assert subjects.document_subjects(docs, "doc_id", "text", names, lab, most_subjects=3).count() >= 0
