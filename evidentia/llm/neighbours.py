@@ -2,7 +2,7 @@
 
 Vectors are brought to length one and turned into binary codes of one bit a dimension by a learned
 rotation (the sign pattern of the centred vectors after iterative quantisation on a bounded sample).
-The code is cut into 16-bit substrings, each of which is an index of its own: a table of buckets.
+The code is cut into substrings of about log2(rows) bits, each an index of its own: a table of buckets.
 Of two codes that differ in at most r bits, one substring differs in at most r / substrings bits
 (pigeonhole), so probing all buckets within radius 1 of each substring finds every code within
 2 * substrings - 1 bits; beyond that the probes go on in the order of the query's own uncertainty,
@@ -10,13 +10,18 @@ flipping first those bits whose projections are close to zero. The candidates ar
 Hamming distance of the whole codes, and the rest is ranked by the exact cosine of the stored
 integers.
 
-Queries and index are hashed into blocks of bounded size; each pair of blocks is one task, and the
-best of all blocks are merged. The vectors for whose own list the index did not give k good
-neighbours are afterwards compared with all rows, in the same blocks.
+The index is spread over the cluster by cells: the sample also gives centres, whose number grows with
+the rows, and neighbouring centres form a cell. A row is indexed in the cell of its nearest centre
+and asks there and in the cells of its `visits` nearest centres, so it travels about `visits` times
+however many rows there are. Centres are drawn from the rows, so dense regions have more of them; a
+cell that is still too large is cut into blocks by hash. Equal vectors are one class from the start:
+a class is indexed once, whatever its number of ids. Rows that find fewer than k neighbours within
+`far` are compared with every row of `WIDER` times as many cells, and so on until k are found.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,9 +32,12 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-#: Rows that the rotation is fitted on; rows of an index block and of a query block.
-FIT_ROWS, INDEX_BLOCK, QUERY_BLOCK = 6144, 120_000, 60_000
-SUB_BITS = 16
+#: Rows that rotation and centres are fitted on, at least and at most; most centres; rows of a cell aimed at, and most rows of an index block.
+FIT_ROWS, MOST_FIT_ROWS, MOST_CENTRES, CELL_ROWS, BLOCK_ROWS = 6144, 32_768, 8192, 2000, 60_000
+#: Cells of the nearest centres that a row asks; the factor for rows that find too few.
+VISITS, WIDER = 3, 4
+#: Bits of a substring, by the rows of the index.
+LEAST_BITS, MOST_BITS = 8, 16
 #: Pairs of a query and a row that the scan ranks at once.
 MOST_TIED = 2_000_000
 
@@ -70,32 +78,42 @@ class Index:
     def __init__(self, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarray):
         self.ints = ints
         self.norm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
-        _, self.words, self.subs = codes(ints, mean, rotation)
+        self.bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(2, len(ints)))))))
+        proj, self.words = codes(ints, mean, rotation)
         self.tables = []
-        for s in range(self.subs.shape[1]):
-            v = self.subs[:, s]
+        for v in substrings(proj > 0, self.bits).T:
             order = np.argsort(v, kind="stable").astype(np.int32)
-            self.tables.append((order, np.searchsorted(v[order], np.arange((1 << SUB_BITS) + 1, dtype=np.int64)).astype(np.int32)))
+            self.tables.append((order, np.concatenate([[0], np.cumsum(np.bincount(v, minlength=1 << self.bits))]).astype(np.int32)))
 
 
 def codes(ints: np.ndarray, mean: np.ndarray, rotation: np.ndarray):
-    """Projections, 64-bit code words (words x rows) and 16-bit substrings (rows x substrings)."""
+    """Projections and 64-bit code words (words x rows)."""
     proj = (units(ints) - mean) @ rotation
     packed = np.packbits(proj > 0, axis=1)
     pad = -packed.shape[1] % 8
     if pad:
         packed = np.pad(packed, ((0, 0), (0, pad)))
-    words = np.ascontiguousarray(packed.view(np.uint64).T)
-    subs = np.ascontiguousarray(packed).view(">u2").astype(np.uint16)
-    return proj, words, subs
+    return proj, np.ascontiguousarray(packed.view(np.uint64).T)
+
+
+def substrings(code: np.ndarray, bits: int) -> np.ndarray:
+    """(rows x substrings) numbers of `bits` bits each; the last substring is filled up with zeros."""
+    code = np.pad(code, ((0, 0), (0, -code.shape[1] % bits)))
+    return code.reshape(len(code), -1, bits) @ (1 << np.arange(bits - 1, -1, -1, dtype=np.int64))
 
 
 def search(index: Index, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarray, k: int, probes: int, far: float, step: int = 256):
-    """(query, row, cosine) of up to k + 1 best rows of the block for each query."""
-    proj, qwords, qsubs = codes(ints, mean, rotation)
+    """(query, row, cosine) of up to k + 1 best rows of the block for each query.
+
+    `probes` buckets of every 2^16 are asked, and all within one bit in any case.
+    """
+    proj, qwords = codes(ints, mean, rotation)
+    bits = index.bits
+    qsubs = substrings(proj > 0, bits)
+    sure = np.pad(np.abs(proj), ((0, 0), (0, -proj.shape[1] % bits)), constant_values=np.inf)
     n_sub, n = qsubs.shape[1], len(ints)
-    patterns = probe_patterns(SUB_BITS, probes)
-    flips = np.zeros((len(patterns), SUB_BITS), np.uint16)
+    patterns = probe_patterns(bits, max(bits + 1, probes >> (MOST_BITS - bits)))
+    flips = np.zeros((len(patterns), bits), np.float32)
     for i, p in enumerate(patterns):
         flips[i, list(p)] = 1
     qnorm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
@@ -108,11 +126,9 @@ def search(index: Index, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarra
         mark = np.zeros((b - a) * size, np.bool_)
         base = (np.arange(b - a) * size)[:, None]
         for s in range(n_sub):
-            margin = np.abs(proj[a:b, s * SUB_BITS : min((s + 1) * SUB_BITS, dims)])
-            order = np.argsort(margin, axis=1)
-            values = (np.uint16(1) << (15 - order).astype(np.uint16)).astype(np.uint16)
-            masks = (values.astype(np.float32) @ flips.T[: values.shape[1]].astype(np.float32)).astype(np.uint16)
-            v = (qsubs[a:b, s][:, None] ^ masks).astype(np.int64)
+            order = np.argsort(sure[a:b, s * bits : (s + 1) * bits], axis=1)
+            masks = ((1 << (bits - 1 - order)).astype(np.float32) @ flips.T).astype(np.int64)
+            v = qsubs[a:b, s][:, None] ^ masks
             rows, ends = index.tables[s]
             lo, cnt = ends[v], ends[v + 1] - ends[v]
             hit = np.flatnonzero(cnt)
@@ -162,20 +178,86 @@ def scan(index: Index, ints: np.ndarray, k: int, step: int = 256):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
 
 
-def _grid(fit, k: int, probes: int, far: float, everything: bool):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        mean, rotation = fit.value
-        parts = {"id_a": [], "id_b": [], "cos": []}
-        if len(queries) and len(rows):
-            rows = rows.sort_by("id")  # ties go to the smaller id
-            qi, ii = _matrix(queries), _matrix(rows)
-            index = Index(ii, mean, rotation)
-            q, i, cos = scan(index, qi, k) if everything else search(index, qi, mean, rotation, k, probes, far)
-            a, b = queries.column("id").take(pa.array(q)), rows.column("id").take(pa.array(i))
-            parts = {"id_a": a, "id_b": b, "cos": pa.array(cos)}
-            t = pa.table(parts)
-            return t.filter(pa.compute.not_equal(t["id_a"], t["id_b"]))
-        return pa.table({"id_a": pa.array([], queries.schema.field("id").type), "id_b": pa.array([], queries.schema.field("id").type), "cos": pa.array([], pa.float64())})
+def fit_centres(x: np.ndarray, count: int, rounds: int = 5, seed: int = 6) -> np.ndarray:
+    """Centres (length one) of rows of length one: rows drawn at random, moved to the mean of the rows nearest to them."""
+    c = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(axis=1)
+        order = np.argsort(near, kind="stable")
+        own, firsts = np.unique(near[order], return_index=True)
+        sums = np.add.reduceat(x[order], firsts, axis=0)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        c[own] = np.where(length > 1e-9, sums / np.maximum(length, 1e-9), c[own])
+    return c
+
+
+def cells_of(centres: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
+    """The cell of each centre: halved again and again along the widest direction, the weight of both halves in proportion."""
+    out = np.zeros(len(centres), np.int32)
+    todo, made = [(np.arange(len(centres)), count)], 0
+    while todo:
+        at, n = todo.pop()
+        if n <= 1 or len(at) <= 1:
+            out[at] = made
+            made += 1
+            continue
+        c = centres[at] - centres[at].mean(axis=0)
+        order = at[np.argsort(c @ np.linalg.svd(c, full_matrices=False)[2][0], kind="stable")]
+        total = np.cumsum(weight[order] + 1e-3)
+        cut = min(len(order) - 1, max(1, int(np.searchsorted(total, total[-1] * (n // 2) / n)) + 1))
+        todo += [(order[:cut], n // 2), (order[cut:], n - n // 2)]
+    return out
+
+
+def _router(fit, visits: int, blocks: np.ndarray, widen: bool):
+    """Each row to the cells it asks: (cell, block, rep, v, own); own in the one block where it is indexed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, centres, cell = fit.value
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            ints, home = _matrix(t), np.asarray(t.column("home"))
+            near = units(ints) @ centres.T
+            asked = min(visits, near.shape[1])
+            top = np.argpartition(-near, asked - 1, axis=1)[:, :asked]
+            mine = cell[near.argmax(axis=1)]
+            to = np.sort(np.concatenate([cell[top], mine[:, None]], axis=1), axis=1)
+            keep = np.ones(to.shape, bool)
+            keep[:, 1:] = to[:, 1:] != to[:, :-1]
+            row, col = np.nonzero(keep)
+            where = to[row, col]
+            times = blocks[where]
+            row, where = np.repeat(row, times), np.repeat(where, times)
+            block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+            own = (where == mine[row]) & (block == home[row] % blocks[where]) & (not widen)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(where.astype(np.int32)), pa.array(block.astype(np.int32)), t.column("rep").take(pa.array(row)).combine_chunks(), t.column("v").take(pa.array(row)).combine_chunks(), pa.array(own)],
+                names=["cell", "block", "rep", "v", "own"],
+            )
+
+    return run
+
+
+def _searcher(fit, k: int, probes: int, far: float, everything: bool):
+    def run(table: pa.Table) -> pa.Table:
+        mean, rotation = fit.value[:2]
+        own = table.column("own")
+        rows = table.filter(own).sort_by("rep")  # ties go to the smaller id
+        asking = table.filter(table.column("asks"))
+        kind = table.schema.field("rep").type
+        if not len(rows) or not len(asking):
+            return pa.table({"rep": pa.array([], kind), "near": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("rep", kind)])))})
+        qi = _matrix(asking)
+        index = Index(_matrix(rows), mean, rotation)
+        q, i, cos = scan(index, qi, k) if everything else search(index, qi, mean, rotation, k, probes, far)
+        order = np.argsort(q, kind="stable")
+        q, i, cos = q[order], i[order], cos[order]
+        who, firsts = np.unique(q, return_index=True)
+        found = pa.StructArray.from_arrays([pa.array(np.round(-cos, 12)), rows.column("rep").take(pa.array(i)).combine_chunks()], names=["far", "rep"])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(q)).astype(np.int32)), found)
+        return pa.table({"rep": asking.column("rep").take(pa.array(who)), "near": lists})
 
     return run
 
@@ -186,7 +268,7 @@ def _matrix(t: pa.Table) -> np.ndarray:
 
 
 def nearest_neighbours(
-    df: DataFrame, id_col: str, vector_col: str, order_col: str, *, k: int = 5, dim: int = 384, probes: int = 240, far: float = 0.42
+    df: DataFrame, id_col: str, vector_col: str, order_col: str, *, k: int = 5, dim: int = 384, probes: int = 480, far: float = 0.42, visits: int = VISITS
 ) -> DataFrame:
     """(id_a, id_b, cos, rank): the k most similar rows of each row, by the cosine of whole-number vectors.
 
@@ -194,6 +276,10 @@ def nearest_neighbours(
     elements and rows with a null id take no part. An id that occurs again counts once, with the vector
     of its smallest order_col, and is never its own neighbour; equal vectors of different ids are
     neighbours. With fewer than k + 1 rows all others are listed; an empty table gives no row.
+
+    Bounds: at most MOST_FIT_ROWS vectors come to the driver, where at most MOST_CENTRES centres are
+    fitted; every row is indexed and asks. A row compared with whole cells meets at most `visits` *
+    WIDER centres' cells unless these hold fewer than k others.
     """
     spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
@@ -201,32 +287,67 @@ def nearest_neighbours(
     good = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<tinyint>").alias("v"), F.col(order_col).alias("o")).where(
         F.col("id").isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
     )
-    rows = cut_lineage(good.groupBy("id").agg(F.min_by("v", "o").alias("v")))
-    n = rows.count()
-    schema = f"id_a {kind}, id_b {kind}, cos double"
-    if n < 2:
-        return spark.createDataFrame([], schema + ", rank int")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("v").collect()
-    fit = spark.sparkContext.broadcast(fit_rotation(units(np.array([r[0] for r in sample], np.int8))))
-    ib = -(-n // INDEX_BLOCK)
-    qb = max(-(-n // QUERY_BLOCK), min(12, -(-n // 4000)))
-
-    def blocks(queries: DataFrame, nq: int, everything: bool) -> DataFrame:
-        h = F.xxhash64("id", F.lit(3))
-        left = queries.toDF("id", "v").select("id", "v", F.pmod(h, F.lit(nq)).cast("int").alias("q")).select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))).alias("i"))
-        right = rows.select("id", "v", F.pmod(h, F.lit(ib)).cast("int").alias("i")).select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), "i")
-        left, right = left.repartition(nq * ib, "q", "i"), right.repartition(nq * ib, "q", "i")
-        return left.groupBy("q", "i").cogroup(right.groupBy("q", "i")).applyInArrow(_grid(fit, k, probes, far, everything), schema)
-
-    ranked = Window.partitionBy("id_a").orderBy(F.desc("cos"), "id_b")
-    top = blocks(rows, qb, False).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    top = cut_lineage(top)
-    full = top.groupBy("id_a").count().where(F.col("count") >= min(k, n - 1)).select(F.col("id_a").alias("id"))
-    short = rows.join(full, "id", "left_anti")
-    if (left := short.count()) == 0:
-        return top
-    more = blocks(short, max(1, -(-left // QUERY_BLOCK)), True).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
-    return top.join(full.select(F.col("id").alias("id_a")), "id_a", "left_semi").select("id_a", "id_b", "cos", "rank").unionAll(more.select("id_a", "id_b", "cos", "rank"))
+    good = good.withColumn("h", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), v))))
+    members = good.groupBy("id").agg(F.min_by("h", "o").alias("h"))
+    # of each class of equal vectors the k + 1 smallest ids are enough for every list; the limit is applied before the shuffle
+    lowest = Window.partitionBy("h").orderBy("id")
+    ids = members.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= k + 1).groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    vectors = good.groupBy("h").agg(F.first("v").alias("v"))
+    classes = cut_lineage(ids.join(vectors, "h").select("h", F.col("ids")[0].alias("rep"), "ids", "v"))
+    n = classes.count()
+    if not n:
+        return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, cos double, rank int")
+    n_centres = max(1, min(MOST_CENTRES, max(512, n // 1500), n // 16))
+    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(MOST_FIT_ROWS, max(FIT_ROWS, 4 * n_centres))).select("v").toArrow()
+    x = units(_matrix(sample))
+    centres = fit_centres(x, n_centres)
+    weight = np.bincount((x @ centres.T).argmax(axis=1), minlength=n_centres)
+    cell = cells_of(centres, weight, min(n_centres, max(24, n // CELL_ROWS)))
+    fit = spark.sparkContext.broadcast((*fit_rotation(x[:FIT_ROWS]), centres, cell))
+    rows = classes.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)).cast("int").alias("home"))
+    routed = f"cell int, block int, rep {kind}, v array<tinyint>, own boolean"
+    n_cells = int(cell.max()) + 1
+    # how many rows each cell holds: at most as many numbers as there are centres
+    largest = -(-n // n_cells)
+    blocks = np.full(n_cells, max(1, -(-largest // BLOCK_ROWS)), np.int64)
+    if n > BLOCK_ROWS:
+        held = rows.mapInArrow(_router(fit, 1, np.ones(n_cells, np.int64), False), routed).groupBy("cell").count().collect()
+        for c, size in held:
+            blocks[c] = max(1, -(-size // BLOCK_ROWS))
+
+    def ask(queries: DataFrame | None, visits: int) -> DataFrame:
+        """(rep, near): the nearest classes of every row, or of `queries` among whole cells."""
+        if queries is None:
+            sent = rows.mapInArrow(_router(fit, visits, blocks, False), routed).withColumn("asks", F.lit(True))
+        else:
+            held = rows.mapInArrow(_router(fit, 1, blocks, False), routed).where("own").withColumn("asks", F.lit(False))
+            sent = held.unionAll(queries.mapInArrow(_router(fit, visits, blocks, True), routed).withColumn("asks", F.lit(True)))
+        found = sent.groupBy("cell", "block").applyInArrow(_searcher(fit, k, probes, far, queries is not None), f"rep {kind}, near array<struct<far: double, rep: {kind}>>")
+        merged = found.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("near"))  # k + 1 from each of a few cells
+        return merged.select("rep", F.slice(F.array_sort(F.filter("near", lambda x: x["rep"] != F.col("rep"))), 1, k).alias("near"))
+
+    top = cut_lineage(ask(None, visits))
+    exhausted = False
+    while not exhausted:
+        # a class with fewer than k others in sight, its own ids counted
+        few = rows.join(classes.select("rep", F.size("ids").alias("_own")), "rep").join(top, "rep", "left")
+        few = few.where(F.coalesce(F.size("near"), F.lit(0)) + F.col("_own") - 1 < min(k, n - 1)).select("rep", "v", "home")
+        few = cut_lineage(few)
+        if few.isEmpty():
+            break
+        visits = min(n_centres, visits * WIDER)
+        exhausted = visits == n_centres
+        more = ask(few, visits)
+        top = cut_lineage(top.join(few.select("rep"), "rep", "left_anti").unionAll(more))
+    # from classes to ids
+    multi = classes.where("size(ids) > 1").select(F.col("rep").alias("rb"), F.col("ids").alias("many"))
+    wide = top.select("rep", F.explode("near").alias("x")).select("rep", F.col("x.far").alias("far"), F.col("x.rep").alias("rb")).join(multi, "rb", "left")
+    lists = wide.groupBy("rep").agg(F.flatten(F.collect_list(F.transform(F.coalesce("many", F.array("rb")), lambda i: F.struct(F.col("far"), i.alias("id"))))).alias("near"))
+    own = classes.select("h", "rep", F.transform("ids", lambda i: F.struct(F.lit(-1.0).alias("far"), i.alias("id"))).alias("own"))
+    each = own.join(lists, "rep", "left").select("h", F.slice(F.array_sort(F.concat("own", F.coalesce("near", F.array().cast(f"array<struct<far: double, id: {kind}>>")))), 1, k + 1).alias("near"))
+    out = members.join(each, "h").select(F.col("id").alias("id_a"), F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
+    out = out.select("id_a", F.posexplode("near").alias("p", "x"))
+    return out.select("id_a", F.col("x.id").alias("id_b"), (-F.col("x.far")).alias("cos"), (F.col("p") + 1).alias("rank"))
 
 
 def neighbour_pairs(df: DataFrame, id_col: str, vector_col: str, order_col: str, **how) -> DataFrame:

@@ -237,6 +237,23 @@ def test_neighbours_match_brute_force(spark):
     assert few.count() == 6 and neighbours.nearest_neighbours(df.where("false"), "chunk_id", "vectors", "row_no", dim=64).count() == 0
 
 
+def test_many_equal_vectors_and_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = rng.integers(-60, 60, (300, 64))
+    x[:120] = x[0]  # more equal vectors than a list is long
+    x[120:140] = 2 * np.clip(x[0], -60, 60)  # of another length, but the same direction
+    rows = [(i, f"c{i:03d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "row_no int, chunk_id string, vectors array<int>")
+    f = x.astype(float)
+    cos = (f @ f.T / np.sqrt((f * f).sum(1)) / np.sqrt((f * f).sum(1))[:, None]).round(12)
+    np.fill_diagonal(cos, -9)
+    want = {(f"c{i:03d}", f"c{j:03d}", r + 1) for i in range(140) for r, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:5])}
+    for most in (neighbours.BLOCK_ROWS, 40):
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", most)
+        got = neighbours.nearest_neighbours(df, "chunk_id", "vectors", "row_no", dim=64).collect()
+        assert len(got) == 1500 and {(r["id_a"], r["id_b"], r["rank"]) for r in got if r["id_a"] < "c140"} == want
+
+
 def test_scan_breaks_ties_by_id(monkeypatch):
     rng = np.random.default_rng(12)
     x = rng.integers(-90, 90, (400, 32)).astype(np.int8)
