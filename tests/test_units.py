@@ -31,7 +31,9 @@ def test_mentions():
     assert at("reached an index of 114.9 in the", "114.9") is None and at("set aside 86 units of", "86") is None
     table = "Atlas (amounts in $ thousands) | 2024 | 2023\nFreight | (26,653) | 88,073"
     assert at(table, "(26,653)") == ("USD", -26_653_000)
-    assert at("Atlas (In millions) | 2024\nFreight | 5", "5") is None
+    assert units.mention_amount("5", 34, 35, None, "Atlas (In millions) | 2024\nFreight | 5") == (None, 5, 10**6, "freight")
+    far = " " * 90
+    assert at(f"came to USD {far}5 million", "5") == ("USD", 5_000_000) and at(f"of - {far}7{far} million {far}kg", "7") == ("kg", -7_000_000) and at("AUSD 5", "5") is None
     assert units.mention_amount("5 kg", 100, 104, None, "short")[:2] == ("kg", 5) and units.mention_amount(None, None, None, None, None) is None
 
 
@@ -43,9 +45,40 @@ def test_identity_chooses_the_unit():
     assert units.solve([[0.0, 0.001], [0.0]], [1, -1])[2] is False  # two readings fit alike
 
 
+def test_identities_over_several_columns_choose_the_scale():
+    scales = [units.Decimal(10**6), units.Decimal(1000)]
+    assert units.printed_scale(units.Decimal("12.5"), scales, 12_500.0, 50.0) == (1, 0.0, True)
+    assert units.printed_scale(units.Decimal("12.5"), scales, 12.5, 50_000.0)[0] == 0 and units.printed_scale(units.Decimal("12.5"), scales, 12.5, None) == (0, 0.0, False)
+    at = lambda v, t: units.mention_amount("12.5 M", 6, 12, v, "about 12.5 M dollars", t)[:2]
+    assert at(12_500.0, 50.0) == ("USD", 12_500) and at(12_500_000.0, 50_000.0) == at(None, None) == at(12.5, None) == ("USD", 12_500_000)
+
+
+def test_a_measure_tells_the_unit_that_a_table_head_leaves_out(spark):
+    rows, texts = [], []
+
+    def table(head, label, figures):
+        t = f"{head} | 2024\n" + "\n".join(f"{label}, site {i} | {x}" for i, x in enumerate(figures))
+        texts.append((f"c{len(texts)}", t))
+        for x in figures:
+            at = t.index(f"| {x}") + 2
+            rows.append((len(rows), texts[-1][0], x, at, at + len(x), None, 0.5))
+
+    table("Plan (in thousands of dollars)", "Freight", ["81", "93", "77"])
+    table("Plan (EUR 000s)", "Freight", ["5"])
+    table("Plan (in kg)", "Scrap", ["410", "395"])
+    table("Plan (In thousands)", "Freight", ["85", "6"])
+    table("Plan (In millions)", "Scrap", ["7"])
+    table("Plan (In millions)", "Weather", ["7"])
+    table("Plan (In millions)", "Freight", ["99999999999999"])
+    m = spark.createDataFrame(rows, "mention_id long, chunk_id string, raw string, char_start int, char_end int, value double, tolerance double")
+    g = spark.createDataFrame([], "id string, question string, gold_answer string, gold_numeric struct<value:double,unit:string,tolerance:double>")
+    got = {int(r.rec_key): (r.common_unit, r.amount) for r in units.common_amounts(g, m, spark.createDataFrame(texts, "chunk_id string, text string")).collect()}
+    assert got[6] == ("USD", 85_000) and got[7] == ("EUR", 6_000) and got[8] == ("kg", 7_000_000) and 9 not in got and got[10] == ("USD", None) and len(got) == 10
+
+
 def test_tons_are_decided_by_other_amounts():
     def mention(text, raw, value=None):
-        return units.mention_amount(raw, text.index(raw), text.index(raw) + len(raw), value, text)
+        return units.mention_amount(raw, text.index(raw), text.index(raw) + len(raw), value, text)[:4]
 
     common, amount, residual, unique = mention("It used 12 tons (10,886 kg) of ore.", "12", 12.0)
     assert (common, amount, unique) == ("kg", 10886, True) and residual < 0.001
