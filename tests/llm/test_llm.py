@@ -88,8 +88,18 @@ def test_components(spark):
 
 def test_question_words():
     w = split_overlap.question_words
-    assert w("Q: How large was X in FY'21?")[-1] == "2021" and w("In the 2021 fiscal year, Y (in mn US dollars)?")[-1] == "2021" and "mn" not in w("Y (in mn US dollars)")
-    assert w("pleae pleease plaese thakns thnks fscal fsical") == [] and w("sales world phase") == ["sales", "world", "phase"]
+    assert w("Q: How large was X in FY'21?") == ["2021", "how", "large", "was", "x"] and "2021" in w("In the 2021 fiscal year, Y (in mn US dollars)?") and "mn" not in w("Y (in mn US dollars)")
+    assert w("I wuld like to know: sales of the world in 2020") == ["2020", "of", "sales", "world"]
+    slips = split_overlap.filler_slips()
+    assert {"pleae", "pleease", "plaese", "thakns", "thnks", "fscal", "fsical"} <= set(slips) and not {"please", "sales", "world", "phase"} & set(slips) and len(slips) < 20_000
+
+
+def test_both_questions_may_hold_slips_of_the_same_word(spark):
+    ask = lambda i, verb="reach", polite="please": f"{polite} tell which level {WORDS[i]} {WORDS[i + 1]} did {verb} in 2019"
+    rows = [(f"t{i}", ask(i), "train") for i in range(50)] + [("a1", ask(7, "reaach", "pleaase"), "train"), ("b1", ask(7, "raech", "plese"), "dev"), ("b2", ask(7, "teach"), "dev"), ("b3", ask(8), "dev")]
+    rows += [(f"u{i}", ask(i, "teach"), "train") for i in range(20, 50)]
+    got = {tuple(r) for r in split_overlap.slip_overlaps(spark.createDataFrame(rows, "id string, question string, split string"), "id", "question", "split").collect()}
+    assert got == {("t7", "b1", 1), ("a1", "b1", 1), ("t8", "b3", 0)}
 
 
 def test_overlaps(spark):
