@@ -4,19 +4,26 @@ Tests in this order, the first that holds names the defect:
   empty           nothing is left of the answer without citations, placeholders and lead-ins
   copied          the longest common subsequence covers the question, and next to none of the answer's
                   shingles lies outside the question
-  refusal         the answer aligns with a refusal template (see REFUSALS) and the question can be answered
+  refusal         a sentence aligns with a refusal template (see REFUSALS), the answer states no figure that
+                  the question lacks, and the question can be answered
   truncated       it breaks off: an open bracket, a hyphen, a comma, an ellipsis, a cut word, or last words
                   that the other answers never end with
-  wrong_language  a sentence is in another language than the question
+  wrong_language  a sentence is in another language than the question: by its script, by the function words
+                  it holds, or because its character trigrams are unlike the texts of the question's
+                  language, which notices languages that no list has. The trigram models are fitted on
+                  labelled texts.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
@@ -24,52 +31,40 @@ _CITE = re.compile(r"\s*[\[［【]\s*\d+(?:\s*[,;\-–]\s*\d+)*\s*[\]］】]")
 _LEAD = re.compile(r"^\W*(?:(?:the|your|die|la|el|le)\s+)?(?:answer|question|response|antwort|réponse|respuesta|frage|you asked|asked)(?:\s+is)?\s*:\s*", re.I)
 _NOTHING = {"", "null", "none", "na", "nan", "nil", "tbd", "undefined", "empty", "answer", "n a", "no answer"}
 
-#: Words by which sentences of each language are told; words that two of them share decide nothing.
-_COMMON = {
-    "en": "fiscal the of and in to is was were for that with by from which what how did does at as it this not are on an up year before after although figure given report reported according states filing line came stood company adds explained management cites unable could yet say whether will last see slightly change reflects",
-    "de": "der die das und ist nicht ein eine einen dem den des mit für von im wie hoch war auf sich dies diese etwas mehr als jahr davor nennt bericht weist unternehmen insgesamt meldete wert begründete geschäftsjahr aus keine angabe dazu enthalten unterlagen verträgen neuen kann wird",
-    "fr": "le la les des du est une un et dans pour que qui sur au aux par pas cette ce soit peu plus année précédente rapport indique société présente total exercice quel était montant cours déclaré surtout grâce nouveaux contrats documents donnent information ne",
-    "es": "el los las una y en que para por con del al lo su más menos este esta no dan dato documentos informe indica algo año anterior empresa presenta total ejercicio cuál fue valor informó sobre todo nuevos contratos",
-    "pt": "o os uma e em para por com do da no na ao um pouco mais do que ano anterior relatório indica empresa apresenta exercício informou sobretudo devido novos contratos não documentos total",
-    "nl": "het een van en in op is niet voor met dat dan iets meer jaar ervoor noemt verslag bedrijf rapporteerde vooral door nieuwe contracten geen wordt zijn bij",
-    "it": "il lo gli una di e che per con del della nel nella non più anno precedente relazione indica società presenta un totale esercizio riportato soprattutto grazie nuovi contratti po",
-    "sv": "och att det som en på är för av med inte den till har rapporten anger något mer än året innan bolaget redovisar totalt främst nya avtal",
-    "da": "og at det som en på er for af med ikke den til har rapporten angiver noget mere end året før selskabet oplyste især nye kontrakter",
-    "pl": "i w na z do się nie że jest to raport podaje nieco więcej niż rok wcześniej spółka łącznie głównie dzięki nowym umowom roku",
-}
-_LANG = {lang: frozenset(words.split()) for lang, words in _COMMON.items()}
 _SCRIPTS = (
-    ("ja", re.compile("[぀-ヿ]")), ("zh", re.compile("[一-鿿]")), ("ko", re.compile("[가-힯]")), ("ru", re.compile("[Ѐ-ӿ]")),
-    ("el", re.compile("[Ͱ-Ͽ]")), ("ar", re.compile("[؀-ۿ]")), ("he", re.compile("[֐-׿]")), ("hi", re.compile("[ऀ-ॿ]")), ("th", re.compile("[฀-๿]")),
+    ("kana", re.compile("[぀-ヿ]")), ("han", re.compile("[一-鿿]")), ("hangul", re.compile("[가-힯]")), ("cyrillic", re.compile("[Ѐ-ӿ]")),
+    ("greek", re.compile("[Ͱ-Ͽ]")), ("arabic", re.compile("[؀-ۿ]")), ("hebrew", re.compile("[֐-׿]")), ("devanagari", re.compile("[ऀ-ॿ]")), ("thai", re.compile("[฀-๿]")),
 )
 
-#: Refusals as word sequences; "*" stands for up to eight words. A template fits at the start of a sentence.
+#: Ideas of which refusals are made, each with words for it (their beginnings where they end in "-").
+IDEAS = {
+    "not": "not no t cannot unable never nothing insufficient impossible refuse- decline- without lack- nicht nichts kein- ne n pas aucun- rien non impossible- nada ningun- ningún não nenhum- niet geen nulla nessun-",
+    "tell": "answer- say- tell- determine- speculat- comment- conclu- respond- know- help- share- beantwort- antwort- sagen répond- dire determinar responder decir- diz- antwoord- zeggen risponder- conclure bestimm-",
+    "access": "access- accès acceso zugang zugriff acesso toegang accesso information- evidence- informationen angabe- información",
+    "hold": "contain- cover- say- state- mention- disclose- suffice- suffisent reichen enthalten enthält bastan contienen give- provide- answer- allow- permit- donnent",
+    "source": "passage- source- excerpt- document- filing- page- context- report- material- extract- text- auszüge- unterlagen bericht- extrait- rapport- document- extracto- informe- documento- relatório verslag frage question pregunta request-",
+    "beyond": "beyond outside exceed- außerhalb hors fuera fora buiten",
+    "sorry": "sorry apolog- regret- leider désolé- siento désolée pardon lamento helaas",
+    "i": "i we my assistant ich wir je nous j yo puedo tengo podemos ik eu",
+}
+#: Refusals as sequences of ideas. A sentence aligns with one if the longest common subsequence of both is the whole template, in one clause.
 REFUSALS = [
-    "i * can t *", "i * cannot *", "i * can not *", "i * unable to *", "i am not able to *", "i m not able to *", "i don t have *", "i do not have *", "i don t know *", "i do not know *",
-    "i d rather not *", "i would rather not *", "i won t *", "i will not *", "i must decline *", "i have no *", "as an * unable to *", "as an * i cannot *", "as an * i can t *", "we cannot *", "we are unable to *",
-    "sorry *", "my apologies *", "unable to answer *", "unable to determine *", "unable to say *", "cannot answer *", "can t answer *", "not able to answer *", "no answer *", "no information *", "no such figure *",
-    "not found in *", "not disclosed *", "not given *", "not reported *", "not stated *", "not available *", "insufficient evidence *", "insufficient information *", "insufficient context *", "not enough information *",
-    "that is not something i *", "this is not something i *", "there is nothing in *", "there is no *", "there are no *", "it is not possible to *", "it is impossible to *", "this cannot be *", "this can not be *", "it cannot be *",
-    "the * do not contain *", "the * does not contain *", "the * do not disclose *", "the * does not disclose *", "the * do not give *", "the * does not give *", "the * do not provide *", "the * does not provide *", "the * do not say *", "the * does not say *",
-    "the * do not state *", "the * does not state *", "the * do not mention *", "the * does not mention *", "the * lack *", "the * lacks *", "the question cannot be answered *", "the * can t answer this *", "the * cannot answer this *",
-    "* does not report * can t answer *", "* does not disclose * can t answer *", "* does not report * cannot answer *", "* so no answer can be given",
-    "die unterlagen enthalten * keine *", "dazu * keine angabe *", "der bericht enthält * keine *", "ich kann * nicht *", "leider * nicht *", "keine angabe *", "es tut mir leid *", "das kann ich nicht *",
-    "les documents ne donnent pas *", "le rapport ne * pas *", "je ne peux pas *", "je ne sais pas *", "je suis désolé *", "impossible de *", "désolé *", "aucune information *",
-    "los documentos no dan *", "el informe no *", "no puedo *", "no se puede *", "lo siento *", "no hay información *", "no se encuentra *",
-    "os documentos não *", "não posso *", "de documenten geven *", "ik kan *",
+    "i not tell", "not tell", "not access", "i not access source", "i tell not", "tell i not", "source not hold", "source hold not", "not hold source", "source not", "not source", "not access source", "not source tell",
+    "beyond source", "beyond source hold", "sorry beyond", "sorry not", "not access hold source", "hold access not", "tell not", "access not",
 ]
-def _template(t: str) -> str:
-    body = t.removesuffix(" *")
-    parts = [r"(?:\S+ ){0,8}?" if w == "*" else re.escape(w) + " " for w in body.split(" ")]
-    return "".join(parts) + ("" if t.endswith(" *") else "$")
+_TEMPLATES = [t.split() for t in REFUSALS]
+_IDEA: dict[str, set[str]] = {}
+_STARTS: dict[str, set[str]] = {}
+for _name, _text in IDEAS.items():
+    for _w in _text.split():
+        (_STARTS if _w.endswith("-") else _IDEA).setdefault(_w.rstrip("-"), set()).add(_name)
 
 
-_REFUSED = re.compile("|".join(map(_template, REFUSALS)))
-#: Words one of which every refusal holds; a sentence without figures of its own that holds one of the first group refuses.
-_DENIES = frozenset("not no cannot unable nothing insufficient decline impossible nicht nichts kein keine keinen leider ne pas aucun aucune rien impossible nada ningún ninguna imposible siento não nenhum niet geen niets non nessuno".split())
-_HINTS = _DENIES | frozenset("can t don won rather lack lacks sorry desolé désolé désolée apologies".split())
-#: What turns such a sentence into an answer nevertheless: a figure after the refusing words.
-_GIVES = re.compile(r"\b(?:but|however|still|instead|nevertheless|aber|mais|pero)\b.*\d|\bso\b.*\b(?:fell|rose|grew|dropped|came|reached)\b")
+def ideas(word: str) -> frozenset[str]:
+    out = set(_IDEA.get(word, ()))
+    for n in range(3, len(word) + 1):
+        out |= _STARTS.get(word[:n], set())
+    return frozenset(out)
 
 
 def words(text: str) -> list[str]:
@@ -88,16 +83,91 @@ def lcs(a: list[str], b: list[str]) -> int:
     return len(a) - bin(row).count("1")
 
 
-def language(text: str, least: int = 2) -> str | None:
-    """The language of a sentence, if at least so many of its words, or its script, tell it."""
-    letters = sum(c.isalpha() for c in text)
-    for lang, script in () if text.isascii() else _SCRIPTS:
-        if len(script.findall(text)) >= max(3, 0.25 * letters) or (lang == "ja" and len(script.findall(text)) >= 3):
-            return lang
-    w = words(text)
-    score = {lang: sum(x in known for x in w) for lang, known in _LANG.items()}
+#: The most frequent articles, pronouns, prepositions, conjunctions and auxiliary verbs of each language (fixed values).
+FUNCTION_WORDS = {
+    "en": "the of and to in a is that it was for on are as with his they at be this from or had by not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has her like him could no than been its who now my over did down only way may any where after most also before such must through does even between both under since while however against during was",
+    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei dieser diese dies wenn etwas kann ich keine kein hoch wir ihr unter jahr",
+    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son ou aux mais comme nous sa leur cette été elle deux ces ses tout même entre sans après avant peu était être fait soit je vous quel quelle cours où donc ni à l d n s",
+    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde está mi porque qué sólo han yo hay vez puede todos así nos ni parte tiene él uno donde bien cuál algo",
+    "pt": "de a o que e do da em um para é com não uma os no se na por mais as dos como mas foi ao ele das tem à seu sua ou ser quando muito há nos já está eu também só pelo pela até isso ela entre era depois sem mesmo aos ter seus quem nas me esse eles você num pouco",
+    "it": "di e il la che in a per un è una sono con non del si da le dei nel alla più al i come della ha gli ma anche lo delle o se su questo nella dal tra era degli questa ci stato ai loro essere suo po",
+    "nl": "de van het een en in is dat op te zijn met voor niet die aan er om ook als maar bij door nog uit naar dan ze over tot was wordt worden heeft hebben deze dit meer hij zich werd of kan geen wel al iets jaar wij ik",
+    "sv": "och i att det som en på är av för med den till inte har de ett om var jag men sig så från vi kan när år under också mer efter eller nu sin där vid mot ska skulle än något",
+    "da": "og i at det er en til på af som for med de den der ikke har et om var sig men fra vi kan jeg så år også efter eller ved blev mod over end noget",
+    "no": "og i det på som er en til å av for at med har de ikke den et om var seg men fra vi kan jeg så år også etter eller ved ble mot over enn noe",
+    "fi": "ja on ei että se oli hän ovat mutta kun niin myös kuin joka tai sen mukaan hieman enemmän vuonna ole olla sekä jo vain nyt kaikki tämä",
+    "pl": "i w na z do nie się to że jest o jak za od po ale a co tym przez być dla był może już tylko jego oraz roku ten więcej niż przed które także są było",
+    "tr": "ve bir bu da de için ile çok daha olarak olan gibi kadar sonra en ne var o ki göre önceki yıl değil her ama biraz ise olduğu tarafından",
+    "ro": "și de în la a cu pe care nu o un din este pentru că mai sunt se au fost ca sau dar anul după",
+    "cs": "a se v na je že o s z do i to k ve pro za by ale si po jako až od jeho byl jsem nebo jsou roku více než",
+    "hu": "a az és hogy nem is egy ez volt meg csak már mint de el ha még azt után több évben szerint",
+}
+_LANG: dict[str, frozenset[str]] = {x: frozenset(w.split()) for x, w in FUNCTION_WORDS.items()}
+
+
+def language(told: list[str], least: int = 2) -> tuple[str | None, dict[str, int]]:
+    """(language, distinct function words of each) of words, if at least so many tell it, and more than tell any other."""
+    distinct = set(told)
+    score = {x: len(distinct & known) for x, known in _LANG.items()}
     (best, n), (_, second) = sorted(score.items(), key=lambda x: -x[1])[:2]
-    return best if n >= least and n > second and n >= 0.08 * len(w) else None
+    return (best if n >= least and n > second else None), score
+
+
+def scripts(text: str) -> set[str]:
+    """The scripts other than Latin of which a text holds three letters and a twelfth of all."""
+    letters = 0 if text.isascii() else sum(c.isalpha() for c in text)
+    return {name for name, p in _SCRIPTS if letters and len(p.findall(text)) >= max(3, letters / 12)}
+
+
+#: Columns of the hashed trigrams; trigrams that a model must have seen; nats a trigram by which a sentence may fall short of its language's texts.
+COLUMNS, LEAST_SEEN, STRANGE = 1 << 15, 2000, 2.6
+
+
+def plain_words(text: str) -> list[str]:
+    """Words in lower case without those with digits or a capital inside a sentence, which name something; a text in capitals counts as small."""
+    letters = [c for c in text if c.isalpha()]
+    if letters and sum(c.isupper() for c in letters) > 0.6 * len(letters):
+        text = text.lower()
+    return [m.group().lower() for m in _PLAIN.finditer(text)]
+
+
+@lru_cache(maxsize=100_000)
+def trigrams(word: str) -> np.ndarray:
+    """Columns of the character trigrams of a word."""
+    w = f" {word} "
+    return np.array([zlib.crc32(w[i : i + 3].encode()) & (COLUMNS - 1) for i in range(len(w) - 2)], np.int64)
+
+
+_PLAIN = re.compile(r"(?<![^\W_])(?:[^\W\d_A-ZÀ-ÖØ-Þ][^\W\d_]*|(?:(?<=^)|(?<=[.!?¿¡] )|(?<=[¿¡]))[^\W\d_]+)(?![^\W_])")
+
+
+class Languages:
+    """Trigram models of labelled languages; of a fixed number of columns a language, so that they may be broadcast."""
+
+    def __init__(self, texts: dict[str, list[str]]):
+        """texts: label -> texts. A text whose function words tell another language than its label is left out."""
+        self.logs, self.mean = {}, {}
+        for x in sorted(texts):
+            split = [plain_words(t) for t in texts[x]]
+            split = [w for w in split if language(w)[0] in (x, None)]
+            halves = [np.concatenate([np.empty(0, np.int64), *(trigrams(w) for t in split[k::2] for w in t)]) for k in (0, 1)]
+            both = np.concatenate(halves)
+            if x not in _LANG or len(np.unique(both)) < LEAST_SEEN:
+                continue
+            unseen = [self._logs(halves[1 - k])[halves[k]] for k in (0, 1)]  # how texts score that were not counted
+            self.logs[x], self.mean[x] = self._logs(both), float(np.concatenate(unseen).mean())
+
+    @staticmethod
+    def _logs(columns: np.ndarray) -> np.ndarray:
+        n = np.bincount(columns, minlength=COLUMNS) + 0.05
+        return np.log(n / n.sum()).astype(np.float32)
+
+    def strange(self, told: list[str], asked: str) -> bool:
+        """Whether words are unlike the texts of this language; only said of three words and twelve trigrams or more."""
+        if asked not in self.logs or len(told) < 3:
+            return False
+        at = np.concatenate([trigrams(w) for w in told])
+        return len(at) >= 12 and float(self.logs[asked][at].mean()) < self.mean[asked] - STRANGE
 
 
 def is_empty(answer: str | None) -> bool:
@@ -121,26 +191,51 @@ def is_copied(question: str | None, answer: str) -> bool:
     return lcs(q, a) >= 0.8 * len(q)
 
 
+def aligned(clause: list[str]) -> bool:
+    """Whether the words hold the ideas of a refusal template in their order."""
+    held = [x for x in map(ideas, clause) if x]
+    for t in _TEMPLATES:
+        at = 0
+        for x in held:
+            if at < len(t) and t[at] in x:
+                at += 1
+        if at == len(t):
+            return True
+    return False
+
+
 def is_refusal(question: str | None, answer: str) -> bool:
     plain = _CITE.sub(" ", answer)
-    for s in re.split(r"(?<=[.!?])\s+", plain):
-        w = words(s)
-        if _HINTS.isdisjoint(w):
-            continue
-        flat = " ".join(w)
-        if _REFUSED.match(flat + " ") and not _GIVES.search(flat):
-            return True
-    rest = words(plain)
     asked = set(words(question or ""))
-    return not _DENIES.isdisjoint(rest) and not any(c.isdigit() for x in rest if x not in asked for c in x)
+    if any(c.isdigit() for x in words(plain) if x not in asked for c in x):
+        return False  # it states something
+    return any(aligned(words(s)) for s in re.split(r"(?<=[.!?;:。])\s+|,\s+(?:so|but|and|because|although|while)\b", plain))
+
 
+_QUOTED = re.compile(r"[«“\"„].*?[»”\"“]")
 
-def wrong_language(question: str | None, answer: str) -> bool:
-    asked = language(re.sub(r"[«“\"„].*?[»”\"“]", " ", question or ""), 1)
-    if asked is None:
+
+def wrong_language(question: str | None, answer: str, models: Languages) -> bool:
+    plain = _QUOTED.sub(" ", question or "")
+    if not words(plain):
         return False
-    parts = [s for s in re.split(r"(?<=[.!?;。])\s*", _CITE.sub(" ", answer)) if s.strip()]
-    return any((x := language(s)) is not None and x != asked for s in parts) or ((x := language(answer)) is not None and x != asked)
+    told, asked = scripts(plain), set(words(question or ""))
+    known, score = language(words(plain), 1)
+    if known is None:  # function words leave it open: of the languages that tie, one whose texts look like it
+        known = next((x for x in models.logs if score[x] and score[x] == max(score.values()) and not models.strange(plain_words(plain), x)), None)
+    for s in [s for s in re.split(r"(?<=[.!?;])\s+|(?<=。)", _CITE.sub(" ", answer)) if s.strip()]:
+        other = scripts(s)
+        if bool(other) != bool(told) and (other or len(plain_words(s)) >= 3) or (other and told and not other & told):
+            return True
+        if known is None:
+            continue
+        _, score = language([w for w in words(s) if w not in asked or w in _LANG[known]])
+        if max(score.values()) - score[known] >= 2:
+            return True
+        fresh = [w for w in plain_words(s) if w not in asked]
+        if score[known] <= 1 and models.strange(fresh, known):
+            return True
+    return False
 
 
 def broken_end(answer: str) -> str:
@@ -162,22 +257,43 @@ def broken_end(answer: str) -> str:
     return "ask"
 
 
-def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for p in batches:
-        kinds = []
-        for q, a, can in zip(p["question"], p["answer"], p["answerable"], strict=True):
-            end = "no"
-            if is_empty(a):
-                kind = "empty"
-            elif is_copied(q, a):
-                kind = "copied"
-            elif is_refusal(q, a):
-                kind = "refusal" if can is None or bool(can) else ("wrong_language" if wrong_language(q, a) else None)
-            else:
-                end = broken_end(a)
-                kind = "truncated" if end == "yes" else "wrong_language" if wrong_language(q, a) else None
-            kinds.append((kind, end == "ask"))
-        yield pd.DataFrame({"k1": p["k1"], "k2": p["k2"], "answer": p["answer"], "kind": [k for k, _ in kinds], "ask": [x for _, x in kinds]})
+def _judge(shared):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = shared.value
+        for p in batches:
+            kinds = []
+            for q, a, can in zip(p["question"], p["answer"], p["answerable"], strict=True):
+                end = "no"
+                if is_empty(a):
+                    kind = "empty"
+                elif is_copied(q, a):
+                    kind = "copied"
+                elif is_refusal(q, a):
+                    kind = "refusal" if can is None or bool(can) else ("wrong_language" if wrong_language(q, a, models) else None)
+                else:
+                    end = broken_end(a)
+                    kind = "truncated" if end == "yes" else "wrong_language" if wrong_language(q, a, models) else None
+                kinds.append((kind, end == "ask"))
+            yield pd.DataFrame({"k1": p["k1"], "k2": p["k2"], "answer": p["answer"], "kind": [k for k, _ in kinds], "ask": [x for _, x in kinds]})
+
+    return run
+
+
+def learn_languages(texts: DataFrame, text: str, lang: str, *, per_language: int = 300, most_languages: int = 50, chars: tuple[int, int] = (200, 20_000)) -> Languages:
+    """Models of the labelled languages, from at most `per_language` texts of a length within `chars` for each of `most_languages` labels.
+
+    Labels are read without case; null, empty and "und" labels are none. Texts that clearly are of another
+    language than their label take no part.
+    """
+    name = F.lower(F.trim(F.col(lang)))
+    rows = texts.select(name.alias("lang"), F.col(text).alias("text")).where("lang IS NOT NULL AND lang NOT IN ('', 'und')").where(F.length("text").between(*chars))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
+    sample = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    found: dict[str, list[str]] = {}
+    for r in sample.orderBy("_n", "lang").limit(per_language * most_languages).select("lang", "text").collect():
+        if r["lang"] in found or len(found) < most_languages:
+            found.setdefault(r["lang"], []).append(r["text"])
+    return Languages(found)
 
 
 def _tokens(text):
@@ -187,8 +303,8 @@ def _tokens(text):
     return F.regexp_extract_all(t, F.lit(r"(?:[\p{L}#][\p{L}\p{M}#'’-]*|[.;!?。])"), F.lit(0))
 
 
-def defective_pairs(df: DataFrame, key1: str, key2: str, question: str, answer: str, answerable: str) -> DataFrame:
-    """(key1, key2, defect): one row for each defective pair.
+def defective_pairs(df: DataFrame, key1: str, key2: str, question: str, answer: str, answerable: str, languages: Languages | None = None) -> DataFrame:
+    """(key1, key2, defect): one row for each defective pair; languages: see learn_languages(), without them only scripts are told apart.
 
     A pair delivered twice counts once; rows with a null key are left out. A null answer is empty; a
     null question can neither be copied nor tell a language; a null answerable counts as answerable.
@@ -197,7 +313,8 @@ def defective_pairs(df: DataFrame, key1: str, key2: str, question: str, answer:
     kinds = dict(df.dtypes)
     rows = df.select(F.col(key1).alias("k1"), F.col(key2).alias("k2"), F.col(question).alias("question"), F.col(answer).alias("answer"), F.col(answerable).alias("answerable"))
     rows = rows.where("k1 IS NOT NULL AND k2 IS NOT NULL").dropDuplicates(["k1", "k2"])
-    judged = rows.mapInPandas(_judge, f"k1 {kinds[key1]}, k2 {kinds[key2]}, answer string, kind string, ask boolean")
+    models = df.sparkSession.sparkContext.broadcast(languages or Languages({}))
+    judged = rows.mapInPandas(_judge(models), f"k1 {kinds[key1]}, k2 {kinds[key2]}, answer string, kind string, ask boolean")
     # How often each pair of words, and each word, is followed by an end or by another word, over all answers.
     seq = rows.where("answer IS NOT NULL").select(F.concat(F.array(F.lit("^")), _tokens(F.col("answer"))).alias("t")).where("size(t) >= 3")
     steps = seq.select(F.explode(F.expr("transform(sequence(2, size(t) - 1), i -> struct(t[i - 2] AS a, t[i - 1] AS b, t[i] RLIKE '^[.;!?。]$' AS ends))")).alias("s")).select("s.*").where("b NOT RLIKE '^[.;!?。]$'")

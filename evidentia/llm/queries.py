@@ -33,7 +33,8 @@ def p2_report(spark, d):
 
 
 def p4_found(spark, d):
-    return pair_quality.defective_pairs(table(spark, d, "item_details"), "run_id", "id", "question", "answer", "answerable")
+    languages = pair_quality.learn_languages(table(spark, d, "documents"), "text", "lang")
+    return pair_quality.defective_pairs(table(spark, d, "item_details"), "run_id", "id", "question", "answer", "answerable", languages)
 
 
 def p5_pieces(spark, d):

@@ -14,6 +14,8 @@ from evidentia.llm.hashing import Words
 
 WORDS = [a + b for a in "ka lo mi ru te vo pa si".split() for b in "nar bel dos fin gul hom jat".split()]
 
+LONG = [a + b + c for a in WORDS[:20] for b in "st nd ler ming tor pra clo".split() for c in "ed ing ion ous age".split()]
+
 
 def text(rng, n):
     return " ".join(rng.choice(WORDS) for _ in range(n))
@@ -178,6 +180,16 @@ def test_single_pairs(spark, question, answer, can, defect):
     assert got == ({"x": defect} if defect else {})
 
 
+def test_languages_without_a_list_are_noticed(monkeypatch):
+    monkeypatch.setattr(pair_quality, "LEAST_SEEN", 100)
+    rng = random.Random(13)
+    good = [" ".join(rng.choice(LONG) for _ in range(60)) for _ in range(120)]
+    models = pair_quality.Languages({"en": good, "de": ["zu kurz"], "xx": good})
+    assert set(models.logs) == {"en"}
+    assert pair_quality.wrong_language("what was the share of it?", "uquq wovvu zzyx qakqu wuxyx quoqo.", models)
+    assert not pair_quality.wrong_language("what was the share of it?", " ".join(LONG[:6]) + ".", models) and not pair_quality.wrong_language(None, "uquq wovvu zzyx qakqu.", models)
+
+
 def test_common_subsequence():
     rng = random.Random(6)
     for _ in range(200):
