@@ -21,6 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +35,7 @@ _WORD = re.compile(r"[^\W_]+")
 _ASCII_WORD = re.compile(r"[a-z0-9]+")
 _INLINE = re.compile(r"</?(?:b|i|u|em|strong|span|a|font|mark|small|sub|sup)\b[^<>]*>", re.I)
 _PARTS = re.compile(
-    r"(?P<tag></?[A-Za-z!][^<>]{0,300}>)|(?P<ent>&#?\w{1,10};)|(?P<plain>[\x00-\x25\x27-\x3b\x3d-\x7f]+(?![\u0300-\u036f]))|(?P<other>.[\u0300-\u036f]*)",
+    r"(?P<tag></?[A-Za-z!][^<>]*>)|(?P<ent>&#?\w+;)|(?P<plain>[\x00-\x25\x27-\x3b\x3d-\x7f]+(?![\u0300-\u036f]))|(?P<other>.[\u0300-\u036f]*)",
     re.S,
 )
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -117,7 +118,7 @@ class Finder:
             self.automaton.make_automaton()
 
     def find(self, text: str | None) -> list[tuple[object, int, int]]:
-        """(item, start, end) of the first good stretch of each item."""
+        """(item, start, end) of every good stretch of each item, in order; stretches of one item do not overlap."""
         if not text or self.empty:
             return []
         spans = None
@@ -130,39 +131,52 @@ class Finder:
         for end, found in self.automaton.iter(flat):
             for k, i in found:
                 hits[k].append((end, i))
+        hits = {k: v for k, v in hits.items() if len(v) >= 3}
+        if not hits:
+            return []
+        spans = spans or plain_words(text)
+        doc = [w for w, _, _ in spans]
+        ends = np.cumsum([len(w) + 1 for w in doc])  # where the blank after each word is
         out = []
-        if hits:
-            spans = spans or plain_words(text)
-            doc = [w for w, _, _ in spans]
-            ends, p = {}, 0
-            for x, w in enumerate(doc):  # where the blank after each word is
-                p += len(w) + 1
-                ends[p] = x
-            for k, found in hits.items():
-                if len(found) >= 3 and (s := self._check(k, doc, [(ends[e] - SEED + 1, i) for e, i in found])):
-                    out.append((k, spans[s[0]][1], spans[s[1] - 1][2]))
+        for k, found in hits.items():
+            at = np.searchsorted(ends, [e for e, _ in found]) - SEED + 1
+            for a, b in self._stretches(k, doc, sorted(zip(at.tolist(), (i for _, i in found), strict=True))):
+                out.append((k, spans[a][1], spans[b - 1][2]))
         return out
 
-    def _check(self, k, doc: list[str], seeds: list[tuple[int, int]]):
+    def _stretches(self, k, doc: list[str], seeds: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """The good stretches around seeds (place in doc, place in passage), in the order of the document."""
         passage = self.words[k]
+        reach = len(passage) + len(passage) // PER_EDIT
+        done, group = 0, []
+        for seed in [*seeds, None]:
+            if group and (seed is None or seed[0] - group[-1][0] > 2 * reach):  # no stretch reaches from one group to the next
+                if len(group) >= 3:
+                    for a, b in self._check(passage, doc, group, done):
+                        yield a, b
+                        done = b
+                group = []
+            if seed is not None:
+                group.append(seed)
+
+    def _check(self, passage: list[str], doc: list[str], seeds: list[tuple[int, int]], done: int) -> Iterator[tuple[int, int]]:
         places = defaultdict(list)
         for i, w in enumerate(passage):
             places[w].append(i)
         slack = len(passage) // PER_EDIT
+        lo, hi = seeds[0][0] - len(passage) - slack, seeds[-1][0] + len(passage) + slack
         diagonals = sorted({j - i for j, i in seeds})
-        lo, hi = min(j for j, _ in seeds) - len(passage) - slack, max(j for j, _ in seeds) + len(passage) + slack
-        starts = []
-        for j in range(max(0, lo), min(len(doc), hi)):
+        for j in range(max(done, lo, 0), min(len(doc), hi)):
+            if j < done:
+                continue
             for i in places.get(doc[j], ()):
-                if i and j and passage[i - 1] == doc[j - 1]:
+                if len(passage) - i < LEAST or (i and j > done and passage[i - 1] == doc[j - 1]):
                     continue  # inside a run; its start is at least as good
                 x = bisect_right(diagonals, j - i + slack) - 1
-                if x >= 0 and diagonals[x] >= j - i - slack and len(passage) - i >= LEAST:
-                    starts.append((j, i))
-        for j, i in starts:
-            if (end := stretch(passage, doc, i, j)) >= 0:
-                return j, end
-        return None
+                if x >= 0 and diagonals[x] >= j - i - slack and (end := stretch(passage, doc, i, j)) >= 0:
+                    yield j, end
+                    done = end
+                    break
 
 
 _FINDERS: dict = {}
@@ -184,7 +198,7 @@ def _scanner(shared, token: str):
 def leaked_passages(
     docs: DataFrame, doc_id: str, doc_text: str, items: DataFrame, item_id: str, item_text: str, automaton_chars: int = AUTOMATON_CHARS
 ) -> DataFrame:
-    """(doc_id, item_id, char_start, char_end): one stretch of each document for each passage that it repeats.
+    """(doc_id, item_id, char_start, char_end): every stretch of each document that repeats a passage; those of one passage do not overlap.
 
     The passages are collected only up to `automaton_chars` characters at a time; a larger set is cut
     into hash shards, each scanned for in its own pass. Nulls: a null text or id has no row. Texts of
@@ -204,4 +218,4 @@ def leaked_passages(
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         rows = texts.mapInPandas(_scanner(shared, uuid.uuid4().hex), schema)
         found = rows if found is None else found.unionAll(rows)
-    return found.groupBy("doc_id", "item_id").agg(F.min(F.struct("char_start", "char_end")).alias("s")).select("doc_id", "item_id", "s.char_start", "s.char_end")
+    return found.distinct()

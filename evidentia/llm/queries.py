@@ -64,7 +64,7 @@ def p8_spans(spark, d):
 
 
 def p8_found(spark, d):
-    return p8_spans(spark, d).select("doc_id", "item_id")
+    return p8_spans(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p9_found(spark, d):

@@ -361,6 +361,18 @@ def test_leaks_match_the_rule():
     assert 20 < hits < 110
 
 
+def test_leaks_behind_long_markup_and_at_every_place():
+    rng = random.Random(15)
+    p = [rng.choice(WORDS) for _ in range(24)]
+    for n in (200, 400, 5000):
+        d = " ".join(p[:12]) + f' <a title="{"x" * n}"> ' + " ".join(p[12:])
+        assert leaks.Finder([(1, " ".join(p))]).find(d) == [(1, 0, len(d))]
+    assert leaks.plain_words("a&CounterClockwiseContourIntegral;b")[0][0] == "a"
+    far = " ".join(rng.choice(LONG) for _ in range(3000))
+    d = f"{' '.join(p)} {far} {' '.join(p[3:])} {' '.join(p)}"
+    assert [d[a:b] for _, a, b in leaks.Finder([(1, " ".join(p))]).find(d)] == [" ".join(p), " ".join(p[3:]), " ".join(p)]
+
+
 def test_leaks_through_disguise(spark):
     p = "Nobody in Lisengal recalls why Ternelumund subsidies disclosed 5681 bundled appendices once Phosorjor discounted 8368 samples of the cafés"
     noisy = p.upper().replace("SUBSIDIES", "<b>SUB­SIDIES</b>").replace("5681", "５６８１").replace(" BUNDLED", "​&nbsp;\nbundled,").replace("CAFÉS", "cafés")
