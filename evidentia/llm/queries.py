@@ -68,7 +68,10 @@ def p8_found(spark, d):
 
 
 def p9_found(spark, d):
-    return subjects.document_subjects(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"))
+    docs, filings = table(spark, d, "documents"), table(spark, d, "manifest").select("doc_id", "url", "path").where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    about = docs.select("doc_id", "filing_id", "source").join(filings.toDF("filing_id", "url", "path"), "filing_id", "left")
+    paths = about.select("doc_id", F.concat_ws(" ", "source", "url", "path").alias("path"))
+    return subjects.document_subjects(docs, "doc_id", "text", table(spark, d, "subjects"), table(spark, d, "subject_labels"), paths)
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_report": p2_report, "p4_found": p4_found, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_ids": p7_ids, "p8_found": p8_found, "p8_spans": p8_spans, "p9_found": p9_found}

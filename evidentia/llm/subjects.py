@@ -2,7 +2,8 @@
 
 Features are words and word pairs of a sentence, hashed to a fixed number of columns. The weak
 labels: every sentence of a labelled document first carries all of the document's subjects (as most
-annotators saw them), and the words of a subject's name and description carry that subject. One
+annotators saw them), documents without human labels carry the subjects that the words of their address
+paths or section metadata name, and the words of a subject's name and description carry that subject. One
 logistic model per subject is fitted on a bounded, hash-ordered sample of labelled documents; then
 each sentence keeps a subject of its document only where the model sees it, and the models are
 fitted again, so that general sentences end up with none. A threshold per subject is calibrated by
@@ -21,13 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import Words, mix, slices
 
-#: Columns of the hashed features; labelled documents used for fitting; characters of each of them.
-COLUMNS, FIT_DOCS = 1 << 18, 4000
+#: Columns of the hashed features; labelled documents, and characters of them, used for fitting; most subjects.
+COLUMNS, FIT_DOCS, FIT_CHARS, MOST_SUBJECTS = 1 << 18, 4000, 20_000_000, 256
+#: Thresholds that are tried.
+LEVELS = tuple(round(0.2 + 0.05 * i, 2) for i in range(13))
 SHARE = 1 / 3
 
 _BREAK = re.compile(r"(?<=[.!?…])[\"”’)\]]*\s+(?=\S)|(?<=[。！？])|\n\s*\n|\n(?=\s*(?:[-•*]|\(\w\)|\d+\.)\s)")
@@ -156,12 +159,12 @@ def calibrate(p: np.ndarray, doc: np.ndarray, doc_y: np.ndarray) -> np.ndarray:
     for _ in range(2):
         for j in range(len(limits)):
             good = []
-            for c in (0.35, 0.5, 0.65):
+            for c in LEVELS:
                 trial = limits.copy()
                 trial[j] = c
                 got = decide(p >= trial, doc, len(doc_y))[:, j]
                 want = doc_y[:, j] > 0
-                good.append((2 * (got & want).sum() / max(1, got.sum() + want.sum()) + (0.002 if c == 0.5 else 0), c))
+                good.append((2 * (got & want).sum() / max(1, got.sum() + want.sum()) - 0.012 * abs(c - 0.5), c))
             limits[j] = max(good)[1]
     return limits
 
@@ -221,16 +224,27 @@ def _labeller(shared, token: str):
     return run
 
 
+def path_labels(paths: DataFrame, subjects: DataFrame) -> DataFrame:
+    """(doc, subject): subjects all of whose words occur in an address path or in section metadata; paths(doc_id, path)."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
+    named = subjects.select("subject", words(F.col("subject")).alias("w")).where("subject IS NOT NULL AND size(w) > 0").distinct()
+    met = paths.select(F.col("doc_id").alias("doc"), F.explode(words(F.col("path"))).alias("word")).where("doc IS NOT NULL").distinct()
+    met = met.join(named.select("subject", F.size("w").alias("n"), F.explode("w").alias("word")), "word")
+    return met.groupBy("doc", "subject").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n").select("doc", "subject")
+
+
 def document_subjects(
-    docs: DataFrame, doc_id: str, text: str, subjects: DataFrame, labels: DataFrame, *, fit_docs: int = FIT_DOCS, most_subjects: int = 10_000
+    docs: DataFrame, doc_id: str, text: str, subjects: DataFrame, labels: DataFrame, paths: DataFrame | None = None, *,
+    fit_docs: int = FIT_DOCS, fit_chars: int = FIT_CHARS, most_subjects: int = MOST_SUBJECTS,
 ) -> DataFrame:
-    """(doc_id, subject) for every document; subjects(subject, description), labels(doc_id, subject, annotator).
-
-    At most `fit_docs` labelled documents, by the hash of their id, are brought to the driver to fit
-    the models; everything else runs over all rows. A label counts if at least half of the document's
-    annotators gave it; repeated labels count once. Null or empty texts, and texts without a sentence
-    on any subject, have no row. Ids delivered twice count once. Without labels the descriptions alone
-    are learnt from; without subjects there is no row. More than `most_subjects` subjects raise an error.
+    """(doc_id, subject) for every document; subjects(subject, description), labels(doc_id, subject, annotator), paths(doc_id, path).
+
+    At most `fit_docs` labelled documents of `fit_chars` characters together, by the hash of their id and
+    those with human labels first, are brought to the driver to fit the models; everything else runs over
+    all rows. A label counts if at least half of the document's annotators gave it; repeated labels count
+    once. Null or empty texts, and texts without a sentence on any subject, have no row. Ids delivered
+    twice count once. Without labels the descriptions alone are learnt from; without subjects there is no
+    row. More than `most_subjects` subjects raise an error, as the models hold 2^18 weights for each.
     """
     spark = docs.sparkSession
     listed = [(r[0], r[1] or "") for r in subjects.select("subject", "description").where("subject IS NOT NULL").distinct().orderBy("subject").limit(most_subjects + 1).collect()]
@@ -243,8 +257,14 @@ def document_subjects(
     votes = labels.select(F.col("doc_id").alias("doc"), "subject", "annotator").where("doc IS NOT NULL AND subject IS NOT NULL").distinct()
     who = votes.groupBy("doc").agg(F.countDistinct("annotator").alias("n"))
     agreed = votes.groupBy("doc", "subject").agg(F.count("*").alias("v")).join(who, "doc").where("2 * v >= n").groupBy("doc").agg(F.collect_set("subject").alias("s"))
-    chosen = agreed.orderBy(F.xxhash64("doc"), "doc").limit(fit_docs)
-    sample = rows.join(F.broadcast(chosen), "doc").select("doc", "text", "s").dropDuplicates(["doc"]).orderBy("doc").collect()
+    agreed = agreed.select("doc", "s", F.lit(0).alias("weak"))
+    if paths is not None:
+        weak = path_labels(paths, subjects).groupBy("doc").agg(F.collect_set("subject").alias("s")).join(agreed, "doc", "left_anti")
+        agreed = agreed.unionAll(weak.select("doc", "s", F.lit(1).alias("weak")))
+    chosen = agreed.orderBy("weak", F.xxhash64("doc"), "doc").limit(fit_docs)
+    sample = rows.join(F.broadcast(chosen), "doc").dropDuplicates(["doc"])
+    so_far = F.sum(F.length("text")).over(Window.orderBy("weak", F.xxhash64("doc"), "doc"))  # fit_docs rows at most
+    sample = sample.withColumn("so_far", so_far).where(F.col("so_far") <= fit_chars).select("doc", "text", "s").orderBy("doc").collect()
     model = learn([r["text"] for r in sample], [set(r["s"]) for r in sample], [s for s, _ in listed], [h for _, h in listed])
     shared = spark.sparkContext.broadcast((model.names, model.weights, model.bias, model.limits))
     found = rows.mapInPandas(_labeller(shared, uuid.uuid4().hex), f"doc {kind}, subject string")
