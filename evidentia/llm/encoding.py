@@ -24,7 +24,8 @@ TOKENIZERS = os.environ.get("EVIDENTIA_TOKENIZERS", "/opt/tokenizers")
 #: The split pattern that belongs to the byte-level vocabularies (fixed value).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-WHOLE_CHARS = 16_384
+#: Characters of a text that is encoded as it is; pieces that one task joins at a time.
+WHOLE_CHARS, FAN_IN = 16_384, 64
 _ENCODERS: dict = {}
 
 
@@ -97,11 +98,23 @@ def _encode_rows(name: str, folder: str, text_at: int):
     return run
 
 
-def _join_rows(name: str, folder: str):
+def _cut_rows(half: int):
+    """Each text in pieces of `half` characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                parts = [t[k : k + half] for k in range(0, len(t), half)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[i].as_py()] * len(parts), batch.column(0).type), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.string())], names=["doc", "part", "text"])
+
+    return run
+
+
+def _join_rows(name: str, folder: str, fan_in: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
         enc = encoder(name, folder)
         parts = [np.asarray(x, np.int32) for x in group.sort_values("part")["ids"]]
-        return pd.DataFrame({"doc": [group["doc"].iloc[0]], "ids": [join_tree(enc, parts)]})
+        return pd.DataFrame({"doc": [group["doc"].iloc[0]], "part": [int(group["part"].min()) // fan_in], "ids": [join_tree(enc, parts)]})
 
     return run
 
@@ -119,10 +132,14 @@ def encode_corpus(
     short = rows.where(F.coalesce(F.length("text"), F.lit(0)) <= whole_chars)
     done = short.mapInArrow(_encode_rows(tokenizer, folder, 1), f"doc {kind}, ids array<int>")
     half = whole_chars // 2
-    cut = rows.where(F.length("text") > whole_chars).select(
-        "doc", "text", F.explode(F.sequence(F.lit(0), F.ceil(F.length("text") / F.lit(half)).cast("int") - 1)).alias("part")
-    )
-    cut = cut.select("doc", "part", F.substring("text", F.col("part") * half + 1, F.lit(half)).alias("text")).repartition("doc", "part")
-    parts = cut.mapInArrow(_encode_rows(tokenizer, folder, 2), f"doc {kind}, part int, ids array<int>")
-    joined = parts.groupBy("doc").applyInPandas(_join_rows(tokenizer, folder), f"doc {kind}, ids array<int>")
+    long = rows.where(F.length("text") > whole_chars)
+    cut = long.mapInArrow(_cut_rows(half), f"doc {kind}, part int, text string").repartition("doc", "part")
+    joined = cut.mapInArrow(_encode_rows(tokenizer, folder, 2), f"doc {kind}, part int, ids array<int>")
+    # up the tree: at each level up to FAN_IN neighbours are joined in one task, until one list is left
+    longest = df.agg(F.max(F.length(text_col))).first()[0] or 0
+    parts = -(-longest // half)
+    while parts > 1:
+        joined = joined.groupBy("doc", F.floor(F.col("part") / FAN_IN).alias("_up")).applyInPandas(_join_rows(tokenizer, folder, FAN_IN), f"doc {kind}, part int, ids array<int>")
+        parts = -(-parts // FAN_IN)
+    joined = joined.select("doc", "ids")
     return done.unionAll(joined).withColumnRenamed("doc", id_col)

@@ -13,7 +13,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +31,17 @@ def token_spans(text: str) -> np.ndarray:
 
 
 def boundaries(text: str, spans: np.ndarray) -> np.ndarray:
-    """For each token 1..n-1, how strong a boundary lies before it: 3 blank line, 2 line, 1 sentence, 0 none."""
+    """For each token 1..n-1, how strong a boundary lies before it: 3 blank line, 2 line, 1 sentence, 0 none.
+
+    A line break inside a wrapped sentence is none, and neither is the one between a heading and its text.
+    """
     out = np.zeros(len(spans) + 1, np.int8)
     for i in range(1, len(spans)):
         gap = text[spans[i - 1, 1] : spans[i, 0]]
         if not gap:
             continue
         if "\n" in gap or "\r" in gap:
-            out[i] = 3 if gap.count("\n") > 1 else 2
+            out[i] = _line_break(text, int(spans[i - 1, 1]), int(spans[i, 0]), gap)
             continue
         j = i - 1
         while j >= 0 and text[spans[j, 0]] in _CLOSERS and spans[j, 1] - spans[j, 0] == 1 and j > i - 4:
@@ -54,6 +57,26 @@ def boundaries(text: str, spans: np.ndarray) -> np.ndarray:
     return out
 
 
+_ENDED = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
+_MARKED = re.compile(r"\s*(?:[-*•–|#]|\(?\w{1,3}[.)]\s)")
+
+
+def _line_break(text: str, a: int, b: int, gap: str) -> int:
+    """The strength of the line breaks in text[a:b], between two tokens."""
+    before = text[max(text.rfind("\n", 0, a), text.rfind("\r", 0, a)) + 1 : a]
+    blank = len(re.findall(r"\r\n|\r|\n", gap)) > 1
+    if "|" in before:
+        return 3 if blank else 2
+    ended, starts = bool(_ENDED.search(before)), bool(_MARKED.match(text, b))
+    heading = not ended and not _MARKED.match(before) and len(before) <= 80 and not starts and (blank or text[b].isupper() or text[b].isdigit())
+    above = text[: a - len(before)].rstrip(" \t")
+    if heading and (not above or above[-1] in "\n\r") and (blank or not above or above.rstrip().endswith((".", "!", "?", "|", ":", "。"))):
+        return 0  # what it heads follows
+    if blank:
+        return 3
+    return 2 if ended or starts else 0 if text[b].islower() or len(before) >= 60 else 2
+
+
 def rolling(text: str, spans: np.ndarray, words: Words, back: int = LOOK_BACK) -> np.ndarray:
     """For each place 0..n (between tokens), a number that depends on the `back` tokens before it."""
     h = mix(np.fromiter((words[text[a:b]] for a, b in spans), np.uint64, len(spans)))
@@ -103,14 +126,20 @@ def cut(text: str, words: Words, limit: int = 350, overlap: int = 50) -> list[tu
 
 
 def _cutter(limit: int, overlap: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
-        for p in batches:
-            rows = []
-            for i, t in zip(p["id"], p["text"], strict=True):
+        for batch in batches:
+            row, numbers, texts = [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
                 pieces = cut(t, words, limit, overlap)
-                rows += [(i, x, len(pieces), a, b, n, t[a:b]) for x, (a, b, n) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=["id", "piece", "pieces", "char_start", "char_end", "n_tokens", "text"])
+                row += [i] * len(pieces)
+                numbers += [(x, len(pieces), a, b, n) for x, (a, b, n) in enumerate(pieces)]
+                texts += [t[a:b] for a, b, _ in pieces]
+            at = pa.array(row, pa.int64())
+            cols = np.array(numbers, np.int32).reshape(-1, 5).T
+            kept = [batch.column(i).take(at) for i in range(2, batch.num_columns)]
+            names = ["id", "piece", "pieces", "char_start", "char_end", "n_tokens", "text", *batch.schema.names[2:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), *(pa.array(c) for c in cols), pa.array(texts, pa.string()), *kept], names=names)
 
     return run
 
@@ -121,27 +150,24 @@ def split_texts(
     """(id_col, piece, pieces, char_start, char_end, n_tokens, text, *keep): the pieces of each text, in order.
 
     char_end is where the next token begins, so white space between pieces is lost nowhere. The columns
-    `keep` (heading paths and the like) are copied from the row. Null texts have no piece; an empty
+    `keep` (heading paths and the like) travel with the row. Null texts have no piece; an empty
     text is one empty piece; an id delivered twice is cut once; a null id is left out. A text without any
     natural boundary is cut at landmarks. Texts of any length are cut whole. Columns named as in the
     result are not read unless they are in `keep`, which may not repeat a result name.
     """
     keep = keep or []
+    kinds = dict(df.dtypes)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
     rows = rows.where("id IS NOT NULL AND text IS NOT NULL")
     if oversized_only:  # never more tokens than visible characters once runs are one; Python decides exactly
         runs = F.regexp_replace(F.regexp_replace("text", r"[\p{L}\p{N}]+", "a"), r"(?U)\s+", "")
         rows = rows.where((F.length("text") > limit) & (F.length(runs) > int(limit * 0.9)))
-    rows = rows.dropDuplicates(["id"])
-    kinds = dict(df.dtypes)
-    pieces = rows.select("id", "text").mapInPandas(
-        _cutter(limit, overlap), f"id {kinds[id_col]}, piece int, pieces int, char_start int, char_end int, n_tokens int, text string"
+    kept = "".join(f", keep_{i} {kinds[c]}" for i, c in enumerate(keep))
+    pieces = rows.dropDuplicates(["id"]).mapInArrow(
+        _cutter(limit, overlap), f"id {kinds[id_col]}, piece int, pieces int, char_start int, char_end int, n_tokens int, text string{kept}"
     )
     if oversized_only:
         pieces = pieces.where("pieces > 1")
-    if keep:
-        kept = rows.select("id", *(f"keep_{i}" for i in range(len(keep))))
-        pieces = pieces.join(kept, "id")
     return pieces.select(
         F.col("id").alias(id_col), "piece", "pieces", "char_start", "char_end", "n_tokens", "text", *(F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep))
     )

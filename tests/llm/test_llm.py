@@ -234,6 +234,18 @@ def test_edits_stay_local(spark):
     assert splitting.split_texts(df.where("false"), "id", "text").count() == 0
 
 
+def test_wrapped_lines_and_headings_are_no_boundaries():
+    def at(t):
+        spans = splitting.token_spans(t)
+        strong = splitting.boundaries(t, spans)
+        return [t[spans[i, 0] : spans[i, 1]] for i in range(1, len(spans)) if strong[i]]
+
+    assert at("The board met the\nauditors in May. It then left.\nAll was well.") == ["It", "All"]
+    assert at("One. \n\nRisk Factors\n\nWe may fail. Or not.") == ["Risk", "Or"]
+    assert at("| a | b |\n| c | d |\n- first\n- second\r\n\r\nEnd") == ["|", "-", "-", "End"]
+    assert at("x" * 40 + " " + "y" * 30 + "\nZeta corporation went on. Done.") == ["Done"]
+
+
 # ---- neighbours
 
 
@@ -310,7 +322,7 @@ def test_any_text_joins(s, size):
     assert np.array_equal(encoding.join_tree(enc, parts), encoding.encode(enc, s))
 
 
-def test_corpus_encoding(spark):
+def test_corpus_encoding(spark, monkeypatch):
     from tokenizers import Tokenizer
 
     other = Tokenizer.from_file(f"{encoding.TOKENIZERS}/byte_bpe_50k.json")
@@ -321,6 +333,9 @@ def test_corpus_encoding(spark):
     got = {r.doc_id: r.ids for r in encoding.encode_corpus(df, "doc_id", "text", whole_chars=256).collect()}
     assert got == {k: other.encode(t or "", add_special_tokens=False).ids for k, t in texts.items()}
     assert encoding.encode_corpus(df.where("false"), "doc_id", "text").count() == 0
+    monkeypatch.setattr(encoding, "FAN_IN", 3)  # several levels of the tree
+    deep = encoding.encode_corpus(df, "doc_id", "text", whole_chars=64)
+    assert {r.doc_id: r.ids for r in deep.collect()} == got
 
 
 # ---- leaks
