@@ -329,16 +329,16 @@ def nearest_neighbours(
     top = cut_lineage(ask(None, visits))
     exhausted = False
     while not exhausted:
-        # a class with fewer than k others in sight, its own ids counted
-        few = rows.join(classes.select("rep", F.size("ids").alias("_own")), "rep").join(top, "rep", "left")
-        few = few.where(F.coalesce(F.size("near"), F.lit(0)) + F.col("_own") - 1 < min(k, n - 1)).select("rep", "v", "home")
-        few = cut_lineage(few)
+        # a class with fewer than k others in sight, its own ids counted; found without moving any vector
+        seen = top.select("rep", F.size("near").alias("_seen"))
+        few = classes.select("rep", F.size("ids").alias("_own")).join(seen, "rep", "left")
+        few = cut_lineage(few.where(F.coalesce("_seen", F.lit(0)) + F.col("_own") - 1 < min(k, n - 1)).select("rep"))
         if few.isEmpty():
             break
         visits = min(n_centres, visits * WIDER)
         exhausted = visits == n_centres
-        more = ask(few, visits)
-        top = cut_lineage(top.join(few.select("rep"), "rep", "left_anti").unionAll(more))
+        more = ask(rows.join(few, "rep", "left_semi"), visits)
+        top = cut_lineage(top.join(few, "rep", "left_anti").unionAll(more))
     # from classes to ids
     multi = classes.where("size(ids) > 1").select(F.col("rep").alias("rb"), F.col("ids").alias("many"))
     wide = top.select("rep", F.explode("near").alias("x")).select("rep", F.col("x.far").alias("far"), F.col("x.rep").alias("rb")).join(multi, "rb", "left")
