@@ -38,10 +38,10 @@ class LocateAll:
 
 @udtf(returnType="no int, type string, text string")
 class ParseHtmlBlocks:
-    """One row a block of a page."""
+    """One row a block of a page, furniture included."""
 
     def eval(self, page: str) -> Iterator[tuple]:
-        for n, b in enumerate(html.drop_furniture(html.raw_blocks(page or ""))):
+        for n, b in enumerate(html.page_blocks(page or "")[0]):
             yield n, b.type, b.text
 
 

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical
+from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical, synthesis
 from evidentia.streaming import replay
 
 
@@ -126,17 +126,46 @@ def test_period_values(spark):
     assert rows(facts.period_values(facts_df, concepts, filing), "concept", "current", "prior") == [("revenue", 130497e6, 60922e6)]
 
 
-def test_chunkers():
+def test_fixed_windows(spark):
     words = " ".join(f"w{i}" for i in range(95))
-    assert [words[a:b].split()[0] for a, b in chunking.fixed_windows(words, 20, 5)] == ["w0", "w15", "w30", "w45", "w60", "w75"]
-    assert words[slice(*chunking.fixed_windows(words, 20, 5)[-1])].split()[-1] == "w94"
-    table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| r{i} | {i} |" for i in range(30))
-    text = "Head\n\n" + table
-    blocks = [{"item": "1", "heading_path": ["Item 1"], "type": "heading", "char_start": 0, "char_end": 4}, {"item": "1", "heading_path": ["Item 1"], "type": "table", "char_start": 6, "char_end": len(text)}]
-    got = chunking.structure_chunks(text, blocks, "Co", 2025, table_limit=80)
-    assert len(got) > 1 and all("| a | b |\n| --- | --- |" in c["text"] and c["n_tokens"] <= 80 for c in got)
-    assert "".join(text[c["char_start"] : c["char_end"]] + "\n" for c in got).strip() == table.split("\n", 2)[2]
-    assert chunking.pack([3, 4, 9, 1], 7) == [(0, 2), (2, 3), (3, 4)] and chunking.pack([], 5) == []
+    got = chunking.fixed_chunks(spark.createDataFrame([("d", words), ("e", ""), ("f", None), (None, "x")], "id string, text string"), "id", "text", 20, 5).orderBy("chunk_id").collect()
+    assert [r.text.split()[0] for r in got] == ["w0", "w15", "w30", "w45", "w60", "w75"] and got[-1].text.split()[-1] == "w94" and {r.doc_id for r in got} == {"d"}
+    assert all(words[r.char_start : r.char_end] == r.text for r in got)
+
+
+def test_packing(spark):
+    p = spark.createDataFrame([("g", i, n, 7) for i, n in enumerate([3, 4, 9, 1, 6, 1])] + [("h", 0, 50, 7)], "g string, o int, n int, budget int")
+    assert rows(chunking.packed(p, ["g"], "o", "n", "budget"), "g", "o", "pack") == [("g", 0, 0), ("g", 1, 0), ("g", 2, 1), ("g", 3, 2), ("g", 4, 2), ("g", 5, 3), ("h", 0, 0)]
+
+
+def test_structure_chunks(spark):
+    rng = random.Random(4)
+    long = " ".join(f"Site {i} shipped {i * 7} crates to the depot at the northern quay." for i in range(30))
+    wide = " ".join(f"word{i}" for i in range(130)) + "."
+    grid = "| a | b |\n| --- | --- |\n" + "\n".join(f"| r{i} | {rng.randrange(99)} |" for i in range(30))
+    parts = [("heading", "Head", []), ("paragraph", "Short one.", ["Sub"]), ("paragraph", long, ["Sub"]), ("table", grid, ["Sub"]), ("paragraph", wide, ["Sub"]), ("heading", "Next", []), ("paragraph", "End.", [])]
+    text, blocks = "", []
+    for k, (kind, t, path) in enumerate(parts):
+        text += ("\n\n" if text else "") + t
+        blocks.append(("d", k, "1", ["Item 1", *path], kind, len(text) - len(t), len(text), t))
+    b = spark.createDataFrame(blocks, "id string, k int, item string, heading_path array<string>, type string, char_start int, char_end int, text string")
+    f = spark.createDataFrame([("d", "Co", 2025, "10-K")], "id string, company string, fy int, form string")
+    got = chunking.structure_chunks(b, spark.createDataFrame([("d", text)], "id string, text string"), f, 60, 80).orderBy("chunk_id").collect()
+    body = lambda r: r.text.split("\n\n", 1)[1]
+    tables = [r for r in got if body(r).startswith("|")]
+    assert len(tables) > 1 and all(body(r).startswith("| a | b |\n| --- | --- |\n") and r.n_tokens <= 80 for r in tables)
+    assert "\n".join(text[r.char_start : r.char_end] for r in tables) == grid.split("\n", 2)[2]
+    plain = [r for r in got if r not in tables]
+    assert all(r.n_tokens <= 60 and body(r) == text[r.char_start : r.char_end] and r.text.startswith("Co FY2025 10-K | Item 1") for r in plain)
+    assert plain[0].text.startswith("Co FY2025 10-K | Item 1 | Sub\n\nShort one.\n\nSite 0 shipped") and body(plain[-1]) == "End." and plain[-1].text.split("\n")[0] == "Co FY2025 10-K | Item 1"
+    assert "".join(body(r) for r in plain).replace(" ", "").replace("\n", "") == ("Short one." + long + wide + "End.").replace(" ", "")
+
+
+def test_values_in_text():
+    t = "Intro.\n| Net sales, total | 1,250 | 7 |\n| Costs | 1,250 |\nOur net sales were $1,250 million. Costs were 1,250 too; 21,250 and 1,250.5 are others.\n"
+    got = [t[a:b] for a, b in synthesis.value_spans(t, ["1,250", "1,250 million"], "net sales", 10)]
+    assert got == ["| Net sales, total | 1,250 | 7 |", "Our net sales were $1,250 million."]
+    assert synthesis.value_spans("Sales 5.", ["5"], "sales", 40) == [(0, 8)]
 
 
 def test_folds_match_loops(spark):
