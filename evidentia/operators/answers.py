@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 #: The categories in the order in which they take turns (fixed value).
 CATEGORIES = ("lookup", "table_number", "trend", "comparison", "multi_hop", "false_premise", "unanswerable")
 
@@ -80,10 +82,12 @@ def assign_splits(items: DataFrame, id_col: str, category: str, previous: str, d
     dev holds greatest(d0, least(d0 + k, round(share * (d0 + t0 + k)))), and an item is in dev where that grows.
     """
     d = items.withColumn("_p", F.lower(F.trim(F.col(previous)))).withColumn("_p", F.when(F.col("_p").isin("dev", "test"), F.col("_p")))
-    every = Window.partitionBy(category)
-    d = d.withColumn("_d", F.count_if(F.col("_p") == "dev").over(every)).withColumn("_t", F.count_if(F.col("_p") == "test").over(every))
-    k = F.sum(F.when(F.col("_p").isNull(), 1).otherwise(0)).over(Window.partitionBy(category).orderBy(F.when(F.col("_p").isNull(), 1).otherwise(0), F.sha2(F.col(id_col), 256)).rowsBetween(Window.unboundedPreceding, 0))
-    d = d.withColumn("_k", k)
+    # one numbering of the whole table by category, known items first, instead of a window for each category
+    new = F.when(F.col("_p").isNull(), 1).otherwise(0)
+    d = numbered(d, "_no", F.col(category), new, F.sha2(F.col(id_col), 256))
+    held = d.groupBy(category).agg(F.count_if(F.col("_p") == "dev").alias("_d"), F.count_if(F.col("_p") == "test").alias("_t"), F.min("_no").alias("_base"))
+    d = d.join(held.withColumnRenamed(category, "_c"), F.col(category).eqNullSafe(F.col("_c")))
+    d = d.withColumn("_k", F.when(F.col("_p").isNull(), F.col("_no") - F.col("_base") - F.col("_d") - F.col("_t") + 1).otherwise(0))
     dev = lambda k: F.greatest("_d", F.least(F.col("_d") + k, F.floor(dev_share * (F.col("_d") + F.col("_t") + k) + 0.5)))
     new = F.when(dev(F.col("_k")) > dev(F.col("_k") - 1), "dev").otherwise("test")
     return d.select(id_col, category, F.coalesce("_p", new).alias("split"))

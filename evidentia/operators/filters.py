@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import name_pattern
@@ -33,44 +33,58 @@ def named_tickers(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def detect_filters(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, tickers, fiscal_years, latest, missing_years, doc_ids): what each query restricts itself to.
+    """(qid, tickers, fiscal_years, latest, missing_years, scope, n_docs): what each query restricts itself to.
 
-    doc_ids is null where a query names neither company nor year nor the latest; years that no filing
-    in scope has are listed as missing and then do not restrict. Arrays are sorted. Null texts name nothing.
+    scope says which filings of the named companies (of all, where none is named) are meant: 'years' those
+    of fiscal_years, 'latest' the newest of each company, 'all' every one; null where the query names
+    neither company nor year nor the latest. n_docs counts them. Years that no filing in scope has are
+    listed as missing and then do not restrict. Arrays are sorted. Null texts name nothing. The filings
+    themselves: see allowed_documents(), or in_scope() as a mask.
     """
     y = lambda g: F.filter(F.regexp_extract_all("text", F.lit(YEAR), F.lit(g)), lambda s: s != "")
     years = F.array_sort(F.array_distinct(F.transform(F.concat(y(1), y(2)), lambda s: F.when(F.length(s) == 2, 2000 + s.cast("int")).otherwise(s.cast("int")))))
     q = queries.select("qid", F.coalesce("text", F.lit("")).alias("text")).select("qid", "text", years.alias("years"), F.col("text").rlike(LATEST).alias("last"))
     tick = named_tickers(q.select("qid", "text"), docs).groupBy("qid").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
-    q = q.join(tick, "qid", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>")))
-    top = docs.groupBy("ticker").agg(F.max("fy").alias("top"))
-    dim = docs.select("doc_id", "ticker", "fy").join(top, "ticker").select("doc_id", "ticker", "fy", (F.col("fy") == F.col("top")).alias("newest"))
-    # scope by company, by year, or everything: each an equi-join on a small dimension
-    by_ticker = q.where("size(tickers) > 0").select("qid", "years", "last", F.explode("tickers").alias("ticker")).join(dim, "ticker")
-    by_year = q.where("size(tickers) = 0 AND size(years) > 0").select("qid", "years", "last", F.explode("years").alias("fy")).join(dim, "fy")
-    cols = ["qid", "years", "last", "doc_id", "fy", "newest"]
-    scope = by_ticker.select(cols).unionByName(by_year.select(cols))
-    in_year = F.array_contains("years", F.col("fy"))
-    agg = scope.groupBy("qid").agg(
-        F.array_sort(F.collect_set(F.when(in_year, F.col("fy")))).alias("fiscal_years"), F.array_sort(F.collect_set(F.when(in_year, F.col("doc_id")))).alias("year_docs"),
-        F.array_sort(F.collect_set("doc_id")).alias("all_docs"), F.array_sort(F.collect_set(F.when(F.col("newest"), F.col("doc_id")))).alias("new_docs"),
-    )
-    every = dim.agg(F.array_sort(F.collect_set("doc_id")).alias("every"), F.array_sort(F.collect_set(F.when(F.col("newest"), F.col("doc_id")))).alias("newest"))
-    j = q.join(agg, "qid", "left").crossJoin(F.broadcast(every))  # a single row
-    none = F.array().cast("array<string>")
-    fys = F.coalesce("fiscal_years", F.array().cast("array<int>"))
-    plain = F.when(F.size("tickers") > 0, F.coalesce("all_docs", none)).otherwise(F.col("every"))
-    scope_docs = (
-        F.when((F.size("years") > 0) & (F.size(fys) > 0), F.col("year_docs"))
-        .when(F.size("years") > 0, plain)
-        .when(F.col("last"), F.when(F.size("tickers") > 0, F.coalesce("new_docs", none)).otherwise(F.col("newest")))
-        .otherwise(plain)
-    )
+    q = q.join(tick, "qid", "left").withColumn("tickers", F.coalesce("tickers", F.array().cast("array<string>"))).select("qid", "years", "last", "tickers")
+    # how many filings a company has in a year, and which is its newest: each an equi-join on a small dimension
+    held = docs.groupBy("ticker", "fy").agg(F.countDistinct("doc_id").alias("n"))
+    firm = held.groupBy("ticker").agg(F.sum("n").alias("n_all"), F.max_by("n", "fy").alias("n_new"))
+    whole = firm.agg(F.coalesce(F.sum("n_all"), F.lit(0)).alias("every_all"), F.coalesce(F.sum("n_new"), F.lit(0)).alias("every_new"))
+    asked = q.select("qid", F.explode("years").alias("fy"), "tickers")
+    named = asked.where("size(tickers) > 0").select("qid", "fy", F.explode("tickers").alias("ticker")).join(held, ["ticker", "fy"]).select("qid", "fy", "n")
+    any_ = asked.where("size(tickers) = 0").select("qid", "fy").join(held.groupBy("fy").agg(F.sum("n").alias("n")), "fy").select("qid", "fy", "n")
+    met = named.unionAll(any_).groupBy("qid").agg(F.array_sort(F.collect_set("fy")).alias("fys"), F.sum("n").alias("n_years"))
+    firms = q.select("qid", F.explode("tickers").alias("ticker")).join(firm, "ticker").groupBy("qid").agg(F.sum("n_all").alias("n_all"), F.sum("n_new").alias("n_new"))
+    j = q.join(met, "qid", "left").join(firms, "qid", "left").crossJoin(F.broadcast(whole))  # a single row
+    fys = F.coalesce("fys", F.array().cast("array<int>"))
     filtered = (F.size("tickers") > 0) | (F.size(fys) > 0) | F.col("last")
-    return j.select(
-        "qid", "tickers", fys.alias("fiscal_years"), (F.col("last") & (F.size("years") == 0)).alias("latest"),
-        F.array_except("years", fys).alias("missing_years"), F.when(filtered, scope_docs).alias("doc_ids"),
-    )
+    scope = F.when(~filtered, None).when((F.size("years") > 0) & (F.size(fys) > 0), "years").when(F.col("last") & (F.size("years") == 0), "latest").otherwise("all")
+    of = lambda own, all_: F.when(F.size("tickers") > 0, F.coalesce(own, F.lit(0))).otherwise(F.col(all_))
+    j = j.withColumn("scope", scope)
+    n = F.when(F.col("scope") == "years", F.col("n_years")).when(F.col("scope") == "latest", of("n_new", "every_new")).when(F.col("scope") == "all", of("n_all", "every_all"))
+    return j.select("qid", "tickers", fys.alias("fiscal_years"), (F.col("last") & (F.size("years") == 0)).alias("latest"), F.array_except("years", fys).alias("missing_years"), "scope", n.cast("long").alias("n_docs"))
+
+
+def dated_dimension(docs: DataFrame) -> DataFrame:
+    """(doc_id, ticker, fy, newest): each filing, and whether it is of its company's newest year."""
+    top = docs.groupBy("ticker").agg(F.max("fy").alias("_top"))
+    return docs.join(top, "ticker").select("doc_id", "ticker", "fy", (F.col("fy") == F.col("_top")).alias("newest"))
+
+
+def in_scope() -> Column:
+    """Whether a filing (ticker, fy, newest) is one that a detected filter (tickers, fiscal_years, scope) allows; everything is where there is none."""
+    company = (F.size("tickers") == 0) | F.array_contains("tickers", F.col("ticker"))
+    time = F.when(F.col("scope") == "years", F.array_contains("fiscal_years", F.col("fy"))).when(F.col("scope") == "latest", F.col("newest")).otherwise(True)
+    return F.col("scope").isNull() | F.coalesce(company & time, F.lit(False))
+
+
+def allowed_documents(detected: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, doc_id): the filings of each query that names a company or a year; the scope of one that names neither is a condition, not a list."""
+    dim = dated_dimension(docs)
+    firm = detected.where("size(tickers) > 0").select("*", F.explode("tickers").alias("_t")).join(dim, F.col("_t") == F.col("ticker"))
+    year = detected.where("size(tickers) = 0 AND scope = 'years'").select("*", F.explode("fiscal_years").alias("_y")).join(dim, F.col("_y") == F.col("fy"))
+    cols = ["qid", "tickers", "fiscal_years", "scope", "doc_id", "ticker", "fy", "newest"]
+    return firm.select(cols).unionAll(year.select(cols)).where(in_scope()).select("qid", "doc_id").distinct()
 
 
 def filter_notes(detected: DataFrame) -> DataFrame:

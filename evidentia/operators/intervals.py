@@ -21,18 +21,25 @@ def overlap_pairs(left: DataFrame, right: DataFrame, key: str, l_span: tuple[str
     return j.drop("_bin", "_lb", "_rb")
 
 
-def floor_lookup(points: DataFrame, marks: DataFrame, key: str, at: str, start: str, value: str) -> DataFrame:
+def floor_lookup(points: DataFrame, marks: DataFrame, key: str, at: str, start: str, value: str, width: int = 4096) -> DataFrame:
     """Adds `value` of the last mark at or before each point of the same key, null where there is none.
 
-    One union and one running window per key; equal starts give the greatest value.
+    Keys are cut into bins of `width` positions, each with a running window of its own; what a bin begins
+    with is the last mark of the bins before it, from one row for each bin. Equal starts give the greatest value.
     """
     cols = points.columns
-    p = points.withColumn("_pos", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_v", F.lit(None).cast(dict(marks.dtypes)[value]))
+    kind = dict(marks.dtypes)[value]
+    p = points.withColumn("_bin", F.floor(F.col(at) / width)).withColumn("_pos", F.col(at)).withColumn("_kind", F.lit(1)).withColumn("_v", F.lit(None).cast(kind))
+    m = marks.groupBy(key, start).agg(F.max(value).alias("_v")).withColumn("_bin", F.floor(F.col(start) / width))
+    bins = m.groupBy(key, "_bin").agg(F.max_by("_v", start).alias("_last")).unionByName(p.select(key, "_bin", F.lit(None).cast(kind).alias("_last")).distinct())
+    bins = bins.groupBy(key, "_bin").agg(F.max("_last").alias("_last"))
+    before = Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.withColumn("_from", F.last("_last", ignorenulls=True).over(before)).select(key, "_bin", "_from")
     blank = [F.lit(None).cast(t).alias(c) for c, t in points.dtypes if c != key]
-    m = marks.groupBy(key, start).agg(F.max(value).alias("_v")).select(key, *blank, F.col(start).alias("_pos"), F.lit(0).alias("_kind"), "_v")
-    w = Window.partitionBy(key).orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    u = p.unionByName(m).withColumn(value, F.last("_v", ignorenulls=True).over(w))
-    return u.where("_kind = 1").select(*cols, value)
+    u = p.unionByName(m.select(key, *blank, "_bin", F.col(start).alias("_pos"), F.lit(0).alias("_kind"), "_v"))
+    w = Window.partitionBy(key, "_bin").orderBy("_pos", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    u = u.withColumn("_found", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
+    return u.join(bins, [key, "_bin"], "left").select(*cols, F.coalesce("_found", "_from").alias(value))
 
 
 def share_inside(chunks: DataFrame, blocks: DataFrame, key: str, id_col: str, c_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:

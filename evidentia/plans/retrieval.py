@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, filters, fusion, judging, lexical, prompts
-from ..session import cut_lineage, table
+from ..operators import dense, filters, fusion, judging, lexical, numbering, prompts
+from ..session import cut_lineage, stored, table
 from . import sqlparts as P
 from .registry import query
 
@@ -31,10 +30,10 @@ def posts(spark, d):
 
 
 def index(spark, d):
-    """(chunks, postings, statistics): the postings written once to the shared folder, as every search reads them several times."""
+    """(chunks, postings with their document frequencies, statistics): the index, written once as a table sorted by term and read by every search."""
     c = chunks(spark, d)
-    p = cut_lineage(lexical.postings(c, "chunk_id", "text"))
-    return c, p, lexical.index_stats(p, c, "text")
+    path = stored(spark, "index", [table(spark, d, "chunks")], lambda to: lexical.write_index(c, "chunk_id", "text", to))
+    return c, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics")
 
 
 @query(f"WITH {P.tokens('dt', P.CHUNKS, 'chunk_id', 'text')} SELECT chunk_id, term, count(*) AS tf, CAST(any_value(dl) AS INTEGER) AS dl FROM (SELECT chunk_id, len(toks) AS dl, unnest(toks) AS term FROM dt) GROUP BY chunk_id, term")
@@ -61,12 +60,11 @@ _DELTA = (
 
 @query(_DELTA)
 def index_delta_round_trip(spark, d):
-    """Postings delta-encoded and decoded again: the last row of each term must be the sum of its deltas."""
-    numbered = chunks(spark, d).select("chunk_id").where("chunk_id IS NOT NULL")
-    numbered = numbered.withColumn("no", F.row_number().over(Window.orderBy("chunk_id")).cast("long") - 1)  # one number a chunk: the index's row order
-    p = posts(spark, d).join(numbered, F.col("row") == F.col("chunk_id")).select("term", F.col("no").alias("row"), "tf")
-    back = lexical.decode_postings(lexical.delta_postings(p))
-    return back.groupBy("term").agg(F.count("*").alias("df"), F.sum("delta").cast("long").alias("last_row"), F.sum("tf").alias("total"))
+    """Postings delta-encoded in blocks and decoded again: the last row of each term must come back."""
+    order = numbering.numbered(chunks(spark, d).select("chunk_id"), "no", "chunk_id")  # one number a chunk: the index's row order
+    p = posts(spark, d).join(order, F.col("row") == F.col("chunk_id")).select("term", F.col("no").alias("row"), "tf")
+    back = lexical.decode_postings(lexical.delta_postings(p, 1000), 1000)
+    return back.groupBy("term").agg(F.count("*").alias("df"), F.max("decoded").cast("long").alias("last_row"), F.sum("tf").alias("total"))
 
 
 @query(f"WITH {P.bm25()} SELECT qid, row AS chunk_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM {P.top('scores', 50)}")
@@ -96,19 +94,22 @@ _FILTERS = (
 ).replace("regexp_extract_all(text, R,", f"regexp_extract_all(text, '{filters.YEAR.replace(chr(39), chr(39) * 2)}',").replace("regexp_matches(text, L)", f"regexp_matches(text, '{filters.LATEST}')")
 
 
-@query(f"WITH {_FILTERS} SELECT qid, array_to_string(tickers, ',') AS tickers, array_to_string(fiscal_years, ',') AS fiscal_years, latest, array_to_string(missing_years, ',') AS missing_years, array_to_string(doc_ids, ',') AS doc_ids FROM flt")
+@query(f"WITH {_FILTERS} SELECT qid, array_to_string(tickers, ',') AS tickers, array_to_string(fiscal_years, ',') AS fiscal_years, latest, array_to_string(missing_years, ',') AS missing_years, CAST(len(doc_ids) AS BIGINT) AS n_docs FROM flt")
 def question_filters(spark, d):
-    found = filters.detect_filters(gold(spark, d).select(F.col("id").alias("qid"), F.col("question").alias("text")), filters.filing_dimension(table(spark, d, "manifest")))
+    """What every question restricts itself to, with the number of filings it means."""
     text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
-    return found.select("qid", text("tickers"), text("fiscal_years"), "latest", text("missing_years"), text("doc_ids"))
+    return _detected(spark, d, gold(spark, d).select(F.col("id").alias("qid"), F.col("question").alias("text"))).select("qid", text("tickers"), text("fiscal_years"), "latest", text("missing_years"), "n_docs")
 
 
-def _allowed(spark, d, c):
-    """(qid, row) that each query of the set may return; every row for a query without a filter."""
-    q = asked(spark, d)
-    found = cut_lineage(filters.detect_filters(q, filters.filing_dimension(table(spark, d, "manifest"))).select("qid", "doc_ids"))
-    some = found.where("doc_ids IS NOT NULL").select("qid", F.explode("doc_ids").alias("doc_id")).join(c.select(F.col("chunk_id").alias("row"), "doc_id"), "doc_id")
-    return some.select("qid", "row"), found.where("doc_ids IS NULL").select("qid")
+@query(f"WITH {_FILTERS} SELECT qid, unnest(doc_ids) AS doc_id FROM flt WHERE len(tickers) > 0 OR (len(fiscal_years) > 0)")
+def question_documents(spark, d):
+    """The filings that each question naming a company or a year means."""
+    q = gold(spark, d).select(F.col("id").alias("qid"), F.col("question").alias("text"))
+    return filters.allowed_documents(_detected(spark, d, q), filters.filing_dimension(table(spark, d, "manifest")))
+
+
+def _detected(spark, d, q):
+    return filters.detect_filters(q, filters.filing_dimension(table(spark, d, "manifest")))
 
 
 _MASK = f"JOIN flt USING (qid) JOIN (SELECT chunk_id, doc_id FROM {P.CHUNKS}) c ON c.chunk_id = post.row WHERE flt.doc_ids IS NULL OR list_contains(flt.doc_ids, c.doc_id)"
@@ -119,10 +120,11 @@ def bm25_filtered_top10(spark, d):
     """Search within the documents that a question names; the statistics stay those of the whole index."""
     c, p, stats = index(spark, d)
     q = asked(spark, d)
-    rows, free = _allowed(spark, d, c)
-    masked = lexical.bm25_scores(p, stats, q.join(free, "qid", "left_anti"), rows)
-    scores = masked.unionByName(lexical.bm25_scores(p, stats, q.join(free, "qid", "left_semi")))
-    return lexical.top_hits(scores, 10).select("qid", F.col("row").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
+    found = _detected(spark, d, q).select("qid", "tickers", "fiscal_years", "scope")
+    dim = c.select(F.col("chunk_id").alias("row"), "doc_id").join(filters.dated_dimension(filters.filing_dimension(table(spark, d, "manifest"))), "doc_id", "left").select("row", "ticker", "fy", "newest")
+    # the mask is a condition on the filing of each hit: no list of allowed rows is made
+    mask = lambda hit: hit.join(found, "qid").join(dim, "row").where(filters.in_scope())
+    return lexical.top_hits(lexical.bm25_scores(p, stats, q, mask), 10).select("qid", F.col("row").alias("chunk_id"), "rank", F.round("score", 6).alias("score"))
 
 
 def _dense(spark, d, k):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,16 +35,15 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or an own one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset, and gets its own."""
     sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        jdir = sc._jsc.sc().getCheckpointDir()
-        named = jdir.get() if jdir.isDefined() else None
+    jdir = sc._jsc.sc().getCheckpointDir()
+    named = sc.getConf().get("spark.checkpoint.dir", None) or (jdir.get() if jdir.isDefined() else None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="evidentia-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not jdir.isDefined():
         sc.setCheckpointDir(named)
     return named
 
@@ -58,6 +59,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, name: str, sources: list[DataFrame], build: Callable[[str], None]) -> str:
+    """The folder of a table that is built once for a session and then read by every query, as an index is.
+
+    build(path) writes it below the shared folder. It is built anew where a file that it comes from has
+    changed, by its path, length and time.
+    """
+    files = sorted(f for df in sources for f in df.inputFiles())
+    fs = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    seen = [p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p) for p in fs]
+    key = (spark.sparkContext.applicationId, name, tuple((f, x.getLen(), x.getModificationTime()) for f, x in zip(files, seen, strict=True)))
+    if key not in _STORED:
+        path = shared_path(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

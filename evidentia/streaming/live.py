@@ -47,34 +47,42 @@ def session_counts(stream: DataFrame, ts: str, by: str, gap: str = "30 minutes",
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def keyed_state(stream: DataFrame, key: str, order: list[str], step: Callable[[dict, pd.Series], object], name: str, kind: str, state: str) -> DataFrame:
+def keyed_state(stream: DataFrame, key: str | list[str], order: list[str], step: Callable[[dict, pd.Series], object], name: str, kind: str, state: str, until: str | None = None) -> DataFrame:
     """A stream with one more column: step(state, row) per key, rows of a micro-batch in order; `state` is the DDL of the state's fields.
 
-    No state times out: a processing-time timeout would keep a drained stream running empty batches for ever.
+    The rows of one key in one micro-batch are sorted together, so a key should hold what belongs together
+    in time, such as a client and its window. With `until`, DDL field of the state that holds the end of
+    its use in milliseconds of event time, the state goes once the watermark has passed it.
     """
     fields = [x.strip().split()[0] for x in state.split(",")]
     cols = stream.columns
     schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + f", {name} {kind}"
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            held.remove()
+            return
         now = dict(zip(fields, held.get, strict=True)) if held.exists else {}
         rows = pd.concat(list(batches)).sort_values(order)  # one key's rows of one micro-batch
         got = [step(now, r) for r in rows.itertuples(index=False)]
         held.update(tuple(now.get(f) for f in fields))
+        if until and now[until] > held.getCurrentWatermarkMs():
+            held.setTimeoutTimestamp(now[until])
         yield rows.assign(**{name: got})[[*cols, name]]
 
-    return stream.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if until else GroupStateTimeout.NoTimeout
+    return stream.groupBy(*([key] if isinstance(key, str) else key)).applyInPandasWithState(run, schema, state, "append", timeout)
 
 
-def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: int = 60) -> DataFrame:
-    """admitted per request, in tumbling windows; the state is the current window and its count."""
-    at = stream.columns.index(ts)
+def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: int = 60, late: str = "1 hour") -> DataFrame:
+    """admitted per request, in tumbling windows; the state is the count of one window, and goes when the watermark has passed it by `late`."""
+    cols = stream.columns
+    slotted = stream.withWatermark(ts, late).withColumn("_slot", F.floor(F.unix_micros(F.col(ts)) / (window * 1_000_000)))
+    at = slotted.columns.index("_slot")
 
     def step(state: dict, row) -> bool:
-        slot = int(row[at].timestamp() // window)
-        if state.get("slot") != slot:
-            state["slot"], state["n"] = slot, 0
-        state["n"] += 1
+        state["n"] = (state.get("n") or 0) + 1
+        state["gone"] = int((row[at] + 1) * window * 1000)
         return state["n"] <= limit
 
-    return keyed_state(stream, key, [ts, tie], step, "admitted", "boolean", "slot long, n long")
+    return keyed_state(slotted, [key, "_slot"], [ts, tie], step, "admitted", "boolean", "n long, gone long", "gone").select(*cols, "admitted")

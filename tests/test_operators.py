@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical, synthesis
+from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical, numbering, synthesis
 from evidentia.streaming import replay
 
 
@@ -52,12 +52,30 @@ def test_filters(spark):
     docs = filters.filing_dimension(spark.createDataFrame(m, "doc_id string, ticker string, company string, fy int"))
     asked = ["Apple FY2024 sales", "Apple in fiscal 2024", "Apple FY24", "Apple and NVIDIA revenue last year", "Apple revenue in 2019", "ok, show me kombucha", "metadata handling", "KO margins", None, "FY2025 margins", "most recent filing"]
     q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "qid int, text string")
-    got = {r["qid"]: r for r in filters.filter_notes(filters.detect_filters(q, docs)).collect()}
-    assert [got[i]["doc_ids"] for i in range(3)] == [["AAPL-FY2024"]] * 3
-    assert got[3]["doc_ids"] == ["AAPL-FY2025", "NVDA-FY2026"] and got[3]["latest"]
-    assert got[4]["doc_ids"] == ["AAPL-FY2024", "AAPL-FY2025"] and got[4]["notes"] == ["No filing in the corpus for FY2019"]
-    assert [got[i]["doc_ids"] for i in (5, 6, 8)] == [None] * 3 and got[7]["tickers"] == ["KO"]
-    assert got[9]["doc_ids"] == ["AAPL-FY2025", "KO-FY2025", "NVDA-FY2025"] and got[10]["doc_ids"] == ["AAPL-FY2025", "KO-FY2025", "NVDA-FY2026"]
+    found = filters.detect_filters(q, docs)
+    got = {r["qid"]: r for r in filters.filter_notes(found).collect()}
+    named = {}
+    for i, d in rows(filters.allowed_documents(found, docs), "qid", "doc_id"):
+        named.setdefault(i, []).append(d)
+    assert [named[i] for i in range(3)] == [["AAPL-FY2024"]] * 3 and got[0]["scope"] == "years"
+    assert named[3] == ["AAPL-FY2025", "NVDA-FY2026"] and got[3]["latest"] and got[3]["scope"] == "latest"
+    assert named[4] == ["AAPL-FY2024", "AAPL-FY2025"] and got[4]["notes"] == ["No filing in the corpus for FY2019"] and got[4]["scope"] == "all"
+    assert [got[i]["scope"] for i in (5, 6, 8)] == [None] * 3 and got[7]["tickers"] == ["KO"]
+    assert named[9] == ["AAPL-FY2025", "KO-FY2025", "NVDA-FY2025"] and 10 not in named and got[10]["scope"] == "latest"
+    assert all(got[i]["n_docs"] == len(d) for i, d in named.items()) and got[10]["n_docs"] == 3 and got[5]["n_docs"] is None
+    newest = found.where("qid = 10").crossJoin(filters.dated_dimension(docs)).where(filters.in_scope())
+    assert rows(newest, "doc_id") == [("AAPL-FY2025",), ("KO-FY2025",), ("NVDA-FY2026",)]
+
+
+def test_numbering_and_deltas(spark):
+    order = list(range(500))
+    random.Random(2).shuffle(order)
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in order], "k string")
+    assert rows(numbering.numbered(df, "no", "k"), "k", "no") == [(f"k{i:03d}", i) for i in range(500)]
+    assert numbering.numbered(df.where("false"), "no", "k").count() == 0
+    p = spark.createDataFrame([("t", r) for r in (0, 3, 64, 65, 200, 500)], "term string, row int")
+    d = lexical.delta_postings(p, 64)
+    assert rows(d, "row", "delta") == [(0, 0), (3, 3), (64, 0), (65, 1), (200, 8), (500, 52)] and all(r["decoded"] == r["row"] for r in lexical.decode_postings(d, 64).collect())
 
 
 def test_overlap_rule_and_metrics(spark):
