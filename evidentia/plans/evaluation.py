@@ -157,6 +157,23 @@ def cross_strategy_overlap(spark, d):
     return j.groupBy("chunk_id").agg(F.count("*").alias("others"), F.sum(F.least("char_end", "e2") - F.greatest("char_start", "s2")).alias("shared"))
 
 
+def _plan(size: int, step: int) -> str:
+    return f"(SELECT doc_id, w * {step} AS a, least(w * {step} + {size}, n) AS b, w FROM (SELECT doc_id, max(char_end) AS n, unnest(range(0, CAST(ceil(max(char_end) / {step}.0) AS BIGINT))) AS w FROM {P.CHUNKS} WHERE doc_id IS NOT NULL AND char_end > 0 GROUP BY doc_id))"
+
+
+@query(f"SELECT a.doc_id, a.w, count(*) AS others, CAST(sum(least(a.b, b.b) - greatest(a.a, b.a)) AS BIGINT) AS shared FROM {_plan(9000, 8000)} a JOIN {_plan(3000, 5000)} b ON a.doc_id = b.doc_id AND least(a.b, b.b) > greatest(a.a, b.a) GROUP BY ALL")
+def window_plan_overlap(spark, d):
+    """Two window plans over every filing's length: for each window of the one, the windows of the other that share characters with it."""
+    n = chunks(spark, d).where("doc_id IS NOT NULL AND char_end > 0").groupBy("doc_id").agg(F.max("char_end").alias("n"))
+
+    def plan(size, step, a, b):
+        w = n.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / step).cast("int") - 1)).alias("w"))
+        return w.select("doc_id", F.col("w").cast("long").alias("w"), (F.col("w") * step).cast("long").alias(a), F.least(F.col("w") * step + size, F.col("n")).cast("long").alias(b))
+
+    j = intervals.overlap_pairs(plan(9000, 8000, "a", "b"), plan(3000, 5000, "s2", "e2").drop("w"), "doc_id", ("a", "b"), ("s2", "e2"))
+    return j.groupBy("doc_id", "w").agg(F.count("*").alias("others"), F.sum(F.least("b", "e2") - F.greatest("a", "s2")).alias("shared"))
+
+
 _SP = f"(SELECT id, s.doc_id AS doc_id, s.char_start AS at, i FROM (SELECT id, unnest(gold_spans) AS s, generate_subscripts(gold_spans, 1) - 1 AS i FROM {P.GOLD}) WHERE s.doc_id IS NOT NULL AND s.char_start IS NOT NULL)"
 
 

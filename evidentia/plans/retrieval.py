@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, filters, fusion, judging, lexical, numbering, prompts
+from ..operators import dense, filters, fusion, judging, lexical, numbering, prompts, reports
 from ..session import cut_lineage, stored, table
 from . import sqlparts as P
 from .registry import query
@@ -210,10 +210,11 @@ _METRICS = (
 )
 
 
-def _scored(spark, d):
+def _scored(spark, d, questions=None, spans=None):
     c, p, stats = index(spark, d)
-    hits = lexical.top_hits(lexical.bm25_scores(p, stats, asked(spark, d)), 10).select("qid", F.col("row").alias("chunk_id"), "rank")
-    spans = judging.gold_spans(gold(spark, d)).join(asked(spark, d).select("qid"), "qid", "left_semi")
+    questions = asked(spark, d) if questions is None else questions
+    hits = lexical.top_hits(lexical.bm25_scores(p, stats, questions), 10).select("qid", F.col("row").alias("chunk_id"), "rank")
+    spans = (judging.gold_spans(gold(spark, d)) if spans is None else spans).join(questions.select("qid"), "qid", "left_semi")
     return judging.score_rankings(hits, judging.gold_overlaps(spans, c), spans)
 
 
@@ -242,6 +243,70 @@ def ranking_gate(spark, d):
     return judging.gate(means, _BASE, 0.02)
 
 
+# Ranking against evidence that does lie in the chunks: the words before a number ask for it, and the number's place in its filing is the evidence.
+_MENTIONED = (
+    "(SELECT 'm' || m.mention_id AS qid, substring(c.text, greatest(1, m.char_start - 79), least(80, m.char_start)) AS text, c.doc_id, c.char_start + m.char_start AS gs, c.char_start + m.char_end AS ge, "
+    "CASE WHEN m.percent THEN 'percent' WHEN m.currency THEN 'currency' ELSE 'plain' END AS category FROM (SELECT mention_id, any_value(chunk_id) AS chunk_id, any_value(char_start) AS char_start, any_value(char_end) AS char_end, any_value(percent) AS percent, any_value(currency) AS currency "
+    f"FROM number_mentions WHERE mention_id % 20 = 0 GROUP BY mention_id) m JOIN {P.CHUNKS} c USING (chunk_id) WHERE c.doc_id IS NOT NULL AND c.char_start IS NOT NULL AND m.char_start > 0 AND m.char_end > m.char_start)"
+)
+
+
+def mentioned(spark, d):
+    """(qid, text, doc_id, gs, ge, category): every number whose id is divisible by 20."""
+    m = table(spark, d, "number_mentions").where("mention_id % 20 = 0").dropDuplicates(["mention_id"]).select("mention_id", "chunk_id", F.col("char_start").alias("a"), F.col("char_end").alias("b"), "percent", "currency")
+    j = m.join(chunks(spark, d), "chunk_id").where("doc_id IS NOT NULL AND char_start IS NOT NULL AND a > 0 AND b > a")
+    return j.select(
+        F.concat(F.lit("m"), F.col("mention_id").cast("string")).alias("qid"), F.substring("text", F.greatest(F.lit(1), F.col("a") - 79), F.least(F.lit(80), F.col("a"))).alias("text"), "doc_id",
+        (F.col("char_start") + F.col("a")).alias("gs"), (F.col("char_start") + F.col("b")).alias("ge"), F.when(F.col("percent"), "percent").when(F.col("currency"), "currency").otherwise("plain").alias("category"),
+    )
+
+
+_MSPANS = f"spans AS (SELECT qid, qid AS grp, doc_id, gs, ge FROM {_MENTIONED})"
+_MMETRICS = _METRICS.replace(P.ASKED, _MENTIONED).replace(_SPANS, _MSPANS)
+
+
+def _mention_scores(spark, d):
+    m = cut_lineage(mentioned(spark, d))
+    return m, _scored(spark, d, m.select("qid", "text"), m.select("qid", F.col("qid").alias("grp"), "doc_id", "gs", "ge"))
+
+
+@query(f"WITH {_MSPANS}, {_OVER} SELECT qid, grp, chunk_id FROM ov")
+def mention_chunk_overlaps(spark, d):
+    """The chunks that hold each number's place in its filing."""
+    m = mentioned(spark, d)
+    return judging.gold_overlaps(m.select("qid", F.col("qid").alias("grp"), "doc_id", "gs", "ge"), chunks(spark, d))
+
+
+@query(f"WITH {_MMETRICS} SELECT qid, round(recall_at_5, 6) AS recall_at_5, round(recall_at_10, 6) AS recall_at_10, round(mrr_at_10, 6) AS mrr_at_10, round(ndcg_at_10, 6) AS ndcg_at_10 FROM sc")
+def mention_ranking_scores(spark, d):
+    return _mention_scores(spark, d)[1].select("qid", *(F.round(m, 6).alias(m) for m in judging.METRICS))
+
+
+@query(f"WITH {_MMETRICS} SELECT coalesce(category, 'all') AS category, count(*) AS n, {_MEAN} FROM sc JOIN (SELECT qid, category FROM {_MENTIONED}) USING (qid) GROUP BY GROUPING SETS ((), (category))")
+def mention_ranking_report(spark, d):
+    m, scores = _mention_scores(spark, d)
+    return judging.mean_scores(scores.join(m.select("qid", "category"), "qid"), "category")
+
+
+@query("WITH r AS (" + f"WITH {_MMETRICS} SELECT {_MEAN} FROM sc" + ") " + " UNION ALL ".join(f"SELECT '{m}' AS metric, {m} AS value, CAST({b} AS DOUBLE) AS baseline, {b} - {m} > 0.02 AS regressed FROM r" for m, b in {"recall_at_5": 0.2, "mrr_at_10": 0.9}.items()))
+def mention_ranking_gate(spark, d):
+    """The gate on rows that have relevant chunks."""
+    _, scores = _mention_scores(spark, d)
+    means = judging.mean_scores(scores.withColumn("category", F.lit("x")), "category").where("category = 'all'")
+    return judging.gate(means, {"recall_at_5": 0.2, "mrr_at_10": 0.9}, 0.02)
+
+
+@query(
+    f"WITH {_MMETRICS}, r AS (SELECT category, count(*) AS n, {_MEAN} FROM sc JOIN (SELECT qid, category FROM {_MENTIONED}) USING (qid) GROUP BY category) "
+    "SELECT category, " + ", ".join(f"{m}, coalesce(round({m}, 4) = max(round({m}, 4)) OVER (), false) AS best_{m}" for m in judging.METRICS) + " FROM r"
+)
+def best_categories(spark, d):
+    """Which category has the best value of each metric."""
+    m, scores = _mention_scores(spark, d)
+    means = judging.mean_scores(scores.join(m.select("qid", "category"), "qid"), "category").where("category <> 'all'").drop("n")
+    return reports.best_values(means, list(judging.METRICS))
+
+
 @query("SELECT vec_id, array_to_string(list_transform(u, lambda x: CAST(floor(x / s + 0.5) AS INTEGER)), ',') AS q, round(s, 9) AS scale FROM (SELECT vec_id, u, CASE WHEN list_max(list_transform(u, lambda x: abs(x))) = 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(u, lambda x: abs(x))) / 127 END AS s FROM (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END) AS u FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))))")
 def quantized_embeddings(spark, d):
     q = dense.quantize(table(spark, d, "embeddings"), "embedding")

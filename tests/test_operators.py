@@ -7,6 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical, numbering, synthesis
+from evidentia.plans import verification
 from evidentia.streaming import replay
 
 
@@ -186,6 +187,18 @@ def test_values_in_text():
     assert synthesis.value_spans("Sales 5.", ["5"], "sales", 40) == [(0, 8)]
 
 
+def test_derivable_numbers_by_join_and_by_lookup(spark, monkeypatch):
+    rng = random.Random(6)
+    data = [(c, i, rng.choice([None, 0.0, *map(float, range(1, 40)), 2.5]), rng.choice([0.5, 0.0, None]), rng.random() < 0.3) for c, n in (("a", 6), ("b", 20), ("c", 40)) for i in range(n)]
+    m = spark.createDataFrame([x for x in data if x[2] is not None], "chunk_id string, mention_id int, value double, tolerance double, percent boolean")
+    got = []
+    for few in (0, 24, 100):
+        monkeypatch.setattr(verification, "FEW", few)
+        got.append(rows(verification.derivable_in(m), "chunk_id", "mention_id", "ways"))
+    assert got[0] == got[1] == got[2] and len(got[0]) > 30
+    assert verification.derivable_in(m.where("false")).count() == 0
+
+
 def test_folds_match_loops(spark):
     random.seed(1)
     t0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
