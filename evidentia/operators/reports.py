@@ -8,7 +8,6 @@ import subprocess
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_json
 from ..sources.readers import exists
 
 
@@ -40,7 +39,7 @@ def write_baseline(means: DataFrame, metrics: list[str], path: str) -> None:
     row = means.select(*metrics).first()
     if row is None:
         raise ValueError("there are no means to keep")
-    means.sparkSession.createDataFrame([(stable_json({m: row[m] for m in metrics}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    means.sparkSession.createDataFrame([(json.dumps({m: row[m] for m in metrics}, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def read_baseline(spark: SparkSession, path: str) -> dict[str, float]:

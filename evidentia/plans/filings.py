@@ -53,11 +53,12 @@ def fiscal_year_rule(spark, d):
     return f.withColumn("agrees", F.col("fy") == F.col("by_rule"))
 
 
-_J = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL"
-_V = "v AS (" + " UNION ALL ".join(
-    f"SELECT n_name AS entity, CAST(year(o_orderdate) AS INTEGER) AS fy, '{c}' AS concept, round(sum({x}) / 1000, 0) * 1000 AS current {_J}"
-    for c, x in (("revenue", "l_extendedprice * (1 - l_discount)"), ("discounts", "l_extendedprice * l_discount"), ("list_sales", "l_extendedprice"))
-) + ")"
+_SUMS = (("revenue", "l_extendedprice * (1 - l_discount)"), ("discounts", "l_extendedprice * l_discount"), ("list_sales", "l_extendedprice"))
+_V = (
+    "g AS MATERIALIZED (SELECT n_name AS entity, CAST(year(o_orderdate) AS INTEGER) AS fy, " + ", ".join(f"round(sum({x}) / 1000, 0) * 1000 AS {c}" for c, x in _SUMS)
+    + " FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name, CAST(year(o_orderdate) AS INTEGER)), "
+    + "v AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT entity, fy, '{c}' AS concept, {c} AS current FROM g" for c, _ in _SUMS) + ")"
+)
 
 
 def values(spark, d):
@@ -111,6 +112,38 @@ def sampled_values(spark, d):
     return facts.round_robin(facts.value_items(values(spark, d)).select("id", "entity"), "id", "entity", 60)
 
 
+#: Facts that every filing reports: (tag, which filings, days from start to the report date, days from end to it, value).
+_REPORTED = (
+    ("Revenues", "true", 363, 0, "cik % 100000 * 10 + fy"), ("Revenues", "true", 728, 365, "cik % 100000 * 10 + fy - 1"), ("Revenues", "cik % 7 = 0", 363, 0, "cik % 100000 * 10 + fy + 1"),
+    ("Sales", "cik % 3 = 0", 364, 0, "cik % 1000 * 7 + fy"), ("Sales", "cik % 5 = 0", 727, 364, "cik % 1000 * 7 + fy - 1"), ("Sales", "cik % 2 = 0", 90, 0, "cik % 1000"), ("Cash", "fy % 4 <> 0", None, 0, "cik % 900 + fy"),
+)
+_FACT_ROWS = " UNION ALL ".join(
+    f"SELECT cik, '{tag}' AS tag, accession AS accn, {'CAST(NULL AS DATE)' if start is None else f'report_date - {start}'} AS start, report_date - {end} AS ending, CAST({val} AS DOUBLE) AS val FROM {_FILINGS} WHERE report_date IS NOT NULL AND {where}" for tag, where, start, end, val in _REPORTED
+)
+
+
+@query(
+    f"WITH f AS (SELECT doc_id, cik, accession, report_date FROM {_FILINGS}), c AS (SELECT * FROM (VALUES ('revenue', 0, 'Sales', true), ('revenue', 1, 'Revenues', true), ('cash', 0, 'Cash', false)) t(concept, pref, tag, duration)), "
+    f"r AS (SELECT * FROM ({_FACT_ROWS})), m AS (SELECT f.doc_id, c.concept, c.pref, list_distinct(list(CASE WHEN r.ending = f.report_date THEN r.val END)) AS cur, "
+    "list_distinct(list(CASE WHEN r.ending <> f.report_date AND f.report_date - r.ending BETWEEN 350 AND 380 THEN r.val END)) AS old FROM r JOIN c USING (tag) JOIN f ON f.cik = r.cik AND f.accession = r.accn "
+    "WHERE NOT c.duration OR (r.start IS NOT NULL AND r.ending - r.start BETWEEN 350 AND 380) GROUP BY f.doc_id, c.concept, c.pref), "
+    "x AS (SELECT *, list_filter(cur, lambda v: v IS NOT NULL) AS c2, list_filter(old, lambda v: v IS NOT NULL) AS o2 FROM m), y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, concept ORDER BY pref) AS rn FROM x WHERE len(c2) > 0) "
+    "SELECT doc_id, concept, c2[1] AS current, CASE WHEN len(o2) = 1 THEN o2[1] END AS prior FROM y WHERE rn = 1 AND len(c2) = 1"
+)
+def filing_period_values(spark, d):
+    """A filing's own fiscal-year value of each concept and its prior-year comparative, out of facts with conflicts, other periods and instants."""
+    f = filings(spark, d).where("report_date IS NOT NULL")
+    rows = None
+    for tag, where, start, end, val in _REPORTED:
+        one = f.where(where).select(
+            F.col("cik").alias("entity"), F.lit(tag).alias("tag"), F.lit("USD").alias("unit"), F.col("accession").alias("accn"), F.lit("10-K").alias("form"), F.lit("FY").alias("fp"),
+            (F.lit(None).cast("date") if start is None else F.date_sub("report_date", start)).alias("start"), F.date_sub("report_date", end).alias("end"), F.expr(val).cast("double").alias("val"),
+        )
+        rows = one if rows is None else rows.unionAll(one)
+    concepts = spark.createDataFrame([("revenue", ["Sales", "Revenues"], "USD", True), ("cash", ["Cash"], "USD", False)], "concept string, tags array<string>, unit string, duration boolean")
+    return facts.period_values(rows, concepts, filings(spark, d).select("doc_id", F.col("cik").alias("entity"), "accession", "report_date"))
+
+
 _NTOK = "len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]'))"
 
 

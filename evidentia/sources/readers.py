@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
+import json
+import os
+import struct
 import time
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,101 @@ def corpus_settings(spark: SparkSession, settings: dict) -> DataFrame:
     return spark.createDataFrame(rows, "ticker string, name string, sections map<string,struct<start:string,end:string>>")
 
 
+def gold_items(items: DataFrame, split: str | None = None) -> DataFrame:
+    """The evaluation items of a split, each once; an error where there is none."""
+    d = items.where("id IS NOT NULL").dropDuplicates(["id"])
+    d = d if split is None else d.where(F.lower(F.trim("split")) == split.lower())
+    if d.isEmpty():
+        raise ValueError(f"no items{'' if split is None else ' in split ' + split}")
+    return d
+
+
+def three_sources(synthetic: DataFrame, reported: DataFrame, written: DataFrame, id_col: str = "id") -> DataFrame:
+    """All items of the three sources with their source; ids that occur twice are an error that names some of them."""
+    every = None
+    for name, part in (("synthetic_reviewed", synthetic), ("xbrl", reported), ("hand_written", written)):
+        one = part.withColumn("source", F.lit(name))
+        every = one if every is None else every.unionByName(one, allowMissingColumns=True)
+    twice = [r[0] for r in every.groupBy(id_col).count().where("count > 1").orderBy(id_col).limit(5).collect()]
+    if twice:
+        raise ValueError(f"ids in more than one row: {', '.join(map(str, twice))}")
+    return every
+
+
+def paged_listing(pages: Callable[[int], dict | None], form: str, wanted: int) -> list[dict]:
+    """The newest `wanted` filings of a form from a listing that comes in pages, newest first; older pages are only read until they are found."""
+    out: list[dict] = []
+    n = 0
+    while len(out) < wanted and (page := pages(n)) is not None:
+        columns = list(page)
+        out += [row for values in zip(*page.values(), strict=True) if (row := dict(zip(columns, values, strict=True)))["form"] == form]
+        n += 1
+    return out[:wanted]
+
+
+def download_once(fetch: Callable[[], bytes], path: str) -> bytes:
+    """A file that is fetched once: written beside its place and moved there, so that a broken run leaves no half file."""
+    if not os.path.exists(path):
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        part = f"{path}.{os.getpid()}.part"
+        with open(part, "wb") as f:
+            f.write(fetch())
+        os.replace(part, path)
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def pinned_file(path: str, sha256: str) -> bytes:
+    """A file whose content is known; an error where it is another."""
+    with open(path, "rb") as f:
+        body = f.read()
+    if (got := hashlib.sha256(body).hexdigest()) != sha256:
+        raise ValueError(f"{path} has the checksum {got}, not {sha256}")
+    return body
+
+
+def settings_file(path: str) -> dict:
+    """Corpus settings from JSON, or from YAML where a reader for it is installed."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    if path.endswith(".json"):
+        return json.loads(text)
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("no YAML reader is installed; write the settings as JSON") from e
+    return yaml.safe_load(text)
+
+
+RECORD_HEAD = struct.Struct(">16sI")
+
+
+def append_records(path: str, records: Iterable[tuple[bytes, bytes]]) -> None:
+    """Append (16-byte key, value) records, one write each; what an interrupted write leaves is dropped by read_records()."""
+    with open(path, "ab") as f:
+        for key, value in records:
+            f.write(RECORD_HEAD.pack(key, len(value)) + value)
+
+
+def read_records(path: str) -> dict[bytes, bytes]:
+    """The records of such a file, the last of each key; a torn record at the end is cut off the file."""
+    if not os.path.exists(path):
+        return {}
+    out, at = {}, 0
+    with open(path, "rb") as f:
+        body = f.read()
+    while at + RECORD_HEAD.size <= len(body):
+        key, size = RECORD_HEAD.unpack_from(body, at)
+        if at + RECORD_HEAD.size + size > len(body):
+            break
+        out[key] = body[at + RECORD_HEAD.size : at + RECORD_HEAD.size + size]
+        at += RECORD_HEAD.size + size
+    if at < len(body):
+        with open(path, "r+b") as f:
+            f.truncate(at)
+    return out
+
+
 class Fetcher:
     """HTTP with a least interval between requests, retries on 429 and server errors, Retry-After, growing waits, gzip and deflate."""
 

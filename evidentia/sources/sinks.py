@@ -14,11 +14,17 @@ def write_json_lines(df: DataFrame, path: str, *order: str) -> None:
     (df.orderBy(*order) if order else df).write.mode("overwrite").json(path)
 
 
-def write_review_csv(df: DataFrame, path: str) -> None:
-    """A CSV for spreadsheets: byte order mark in the head, everything as text, quotes doubled."""
+def write_review_csv(df: DataFrame, path: str, most: int = 1_000_000) -> None:
+    """One CSV for reviewers' spreadsheets: byte order mark in the head, everything as text, quotes doubled, lines ended by CR LF, those
+    inside a cell too.
+
+    More than `most` rows are no spreadsheet any more and raise an error.
+    """
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for a review file")
     first, *rest = df.columns
     named = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns)).withColumnRenamed(first, "﻿" + first)
-    named.coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    named.coalesce(1).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", lineSep="\r\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_text_store(chunks: DataFrame, path: str) -> None:

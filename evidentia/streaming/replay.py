@@ -106,14 +106,14 @@ def provider_states(attempts: DataFrame, provider: str, ts: str, tie: str, faile
     return ordered_fold(d, [provider], ["_t", tie], dict, step, "outcome", "string").drop("_t")
 
 
-def run_chain(requests: list[dict], providers: list[str], timeout: float = 8.0, cold: float = 60.0) -> list[dict]:
+def run_chain(requests: list[dict], providers: list[str], timeout: float = 8.0, cold: float = 60.0, until: dict[str, float] | None = None) -> list[dict]:
     """Replay of whole requests over an ordered provider chain.
 
     Each request: t, replies {provider: (status, first_token_seconds, tokens)}, forced failures. A provider
     turns cold after 429, 5xx, an empty stream (as 502) or a late first token; other errors and forced
     failures do not make it cold. Unconfigured providers are those without a reply.
     """
-    until: dict[str, float] = {}
+    until = {} if until is None else until
     out = []
     for r in requests:
         log, winner = [], None
@@ -141,6 +141,24 @@ def run_chain(requests: list[dict], providers: list[str], timeout: float = 8.0,
     return out
 
 
+def chained_requests(requests: DataFrame, chain: str, ts: str, tie: str, replies: str, providers: list[str], timeout: float = 8.0, cold: float = 60.0) -> DataFrame:
+    """Adds provider and attempts: run_chain() over the requests of each chain (a service or client) in order of their time.
+
+    replies is array<struct<provider, status, first, tokens>>, one entry for each configured provider; the
+    requests of a chain pass one after another through its state, as a chain's cold providers depend on all before.
+    """
+
+    def step(state: dict, row) -> dict:
+        until = state.setdefault("until", {})
+        got = {r["provider"]: (r["status"], r["first"], ["x"] * int(r["tokens"])) for r in (row[body] if row[body] is not None else [])}
+        one = run_chain([{"t": row[at], "replies": got}], providers, timeout, cold, until)[0]
+        return {"provider": one["provider"], "attempts": [{"provider": p, "outcome": o} for p, o in one["attempts"]]}
+
+    d = requests.withColumn("_t", seconds(ts))
+    at, body = d.columns.index("_t"), d.columns.index(replies)
+    return ordered_fold(d, [chain], ["_t", tie], dict, step, "_x", "struct<provider: string, attempts: array<struct<provider: string, outcome: string>>>").drop("_t").select("*", "_x.provider", "_x.attempts").drop("_x")
+
+
 def latest_state(events: DataFrame, key: str, ts: str, tie: str, *cols: str) -> DataFrame:
     """The last state of each key."""
     g = events.groupBy(key).agg(F.max_by(F.struct(*cols), F.struct(ts, tie)).alias("_s"))
