@@ -128,8 +128,7 @@ class Model:
 def decide(dealing: np.ndarray, doc: np.ndarray, n_docs: int, share: float = SHARE) -> np.ndarray:
     """(n_docs x subjects) booleans from the sentences' subjects."""
     k = dealing.shape[1]
-    per = np.zeros((n_docs, k), np.int64)
-    np.add.at(per, doc, dealing.astype(np.int64))
+    per = np.stack([np.bincount(doc, dealing[:, j], n_docs) for j in range(k)], axis=1) if k else np.zeros((n_docs, 0))
     total = np.bincount(doc, dealing.any(axis=1), n_docs)
     return (per > 0) & (per >= share * total[:, None] - 1e-9)
 
@@ -155,15 +154,17 @@ def _fitted(split: list[list[str]], soft: np.ndarray, hint_rows: list[list[str]]
 
 def calibrate(p: np.ndarray, doc: np.ndarray, doc_y: np.ndarray) -> np.ndarray:
     """The threshold of each subject that serves best, from scores p that models gave to sentences they were not fitted on."""
+    n = len(doc_y)
     limits = np.full(doc_y.shape[1], 0.5, np.float32)
     for _ in range(2):
         for j in range(len(limits)):
-            good = []
-            for c in LEVELS:
-                trial = limits.copy()
-                trial[j] = c
-                got = decide(p >= trial, doc, len(doc_y))[:, j]
-                want = doc_y[:, j] > 0
+            dealing = p >= limits
+            dealing[:, j] = False
+            others, want, good = dealing.any(axis=1), doc_y[:, j] > 0, []
+            for c in LEVELS:  # as decide(), for this subject alone
+                mine = p[:, j] >= c
+                per, total = np.bincount(doc, mine, n), np.bincount(doc, others | mine, n)
+                got = (per > 0) & (per >= SHARE * total - 1e-9)
                 good.append((2 * (got & want).sum() / max(1, got.sum() + want.sum()) - 0.012 * abs(c - 0.5), c))
             limits[j] = max(good)[1]
     return limits
@@ -228,9 +229,12 @@ def path_labels(paths: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc, subject): subjects all of whose words occur in an address path or in section metadata; paths(doc_id, path)."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != ""))
     named = subjects.select("subject", words(F.col("subject")).alias("w")).where("subject IS NOT NULL AND size(w) > 0").distinct()
-    met = paths.select(F.col("doc_id").alias("doc"), F.explode(words(F.col("path"))).alias("word")).where("doc IS NOT NULL").distinct()
+    about = paths.select(F.col("doc_id").alias("doc"), "path").where("doc IS NOT NULL AND path IS NOT NULL")
+    # every path is read once, however many documents are below it
+    met = about.select("path").distinct().select("path", F.explode(words(F.col("path"))).alias("word"))
     met = met.join(named.select("subject", F.size("w").alias("n"), F.explode("w").alias("word")), "word")
-    return met.groupBy("doc", "subject").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n").select("doc", "subject")
+    told = met.groupBy("path", "subject").agg(F.count("*").alias("c"), F.first("n").alias("n")).where("c = n").select("path", "subject")
+    return about.join(told, "path").select("doc", "subject").distinct()
 
 
 def document_subjects(
