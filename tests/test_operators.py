@@ -16,14 +16,15 @@ def rows(df, *cols):
 
 
 def test_bm25_and_mask(spark):
-    docs = spark.createDataFrame([(0, "iPhone net sales grew, iPhone net sales"), (1, "gaming chips"), (2, "services"), (3, "net sales of Mac")], "row int, text string")
+    docs = spark.createDataFrame([(0, "harbour dues rose, harbour dues"), (1, "timber rafts"), (2, "ropes"), (3, "dues paid by mills")], "row int, text string")
     p, stats = lexical.postings(docs, "row", "text"), lexical.corpus_stats(docs, "text")
-    q = spark.createDataFrame([("q", "iPhone net sales")], "qid string, text string")
+    q = spark.createDataFrame([("q", "harbour dues")], "qid string, text string")
     top = lexical.top_hits(lexical.bm25_scores(p, stats, q), 10).orderBy("rank").collect()
     assert [r["row"] for r in top] == [0, 3] and top[0]["score"] > top[1]["score"]
     mask = spark.createDataFrame([("q", 1), ("q", 2), ("q", 3)], "qid string, row int")
-    masked = lexical.bm25_scores(p, stats, q, mask).collect()
-    assert [r["row"] for r in masked] == [3] and abs(masked[0]["score"] - top[1]["score"]) < 1e-12  # statistics are global
+    for allowed in (mask, lambda hit: hit.where("row > 0")):
+        masked = lexical.bm25_scores(p, stats, q, allowed).collect()
+        assert [r["row"] for r in masked] == [3] and abs(masked[0]["score"] - top[1]["score"]) < 1e-12  # statistics are global
     assert lexical.bm25_scores(p, stats, q.where("false")).count() == 0
 
 
@@ -49,23 +50,25 @@ def test_fusion_and_rerank(spark):
 
 
 def test_filters(spark):
-    m = [("AAPL-FY2024", "AAPL", "Apple Inc.", 2024), ("AAPL-FY2025", "AAPL", "Apple Inc.", 2025), ("NVDA-FY2025", "NVDA", "NVIDIA Corp", 2025), ("NVDA-FY2026", "NVDA", "NVIDIA Corp", 2026), ("KO-FY2025", "KO", "Coca-Cola Co.", 2025)]
+    m = [("QUAY-FY2031", "QUAY", "Bremer Quays Inc.", 2031), ("QUAY-FY2032", "QUAY", "Bremer Quays Inc.", 2032), ("TARN-FY2032", "TARN", "Tarnholm Corp", 2032), ("TARN-FY2033", "TARN", "Tarnholm Corp", 2033), ("OX-FY2032", "OX", "Ox-Mills Co.", 2032)]
     docs = filters.filing_dimension(spark.createDataFrame(m, "doc_id string, ticker string, company string, fy int"))
-    asked = ["Apple FY2024 sales", "Apple in fiscal 2024", "Apple FY24", "Apple and NVIDIA revenue last year", "Apple revenue in 2019", "ok, show me kombucha", "metadata handling", "KO margins", None, "FY2025 margins", "most recent filing"]
-    q = spark.createDataFrame([(i, t) for i, t in enumerate(asked)], "qid int, text string")
-    found = filters.detect_filters(q, docs)
+    asked = {
+        "short": "Bremer Quays FY2031 tolls", "long": "bremer quays in fiscal 2031", "two": "Bremer Quays FY31", "both": "Tolls of Tarnholm and Bremer Quays last year", "missing": "Bremer Quays tolls in 2025",
+        "inside": "the oxen of OXFORD", "none": "a quay", "ticker": "OX dues", "null": None, "year": "FY2032 dues", "newest": "the most recent filing",
+    }
+    found = filters.detect_filters(spark.createDataFrame(list(asked.items()), "qid string, text string"), docs)
     got = {r["qid"]: r for r in filters.filter_notes(found).collect()}
     named = {}
     for i, d in rows(filters.allowed_documents(found, docs), "qid", "doc_id"):
         named.setdefault(i, []).append(d)
-    assert [named[i] for i in range(3)] == [["AAPL-FY2024"]] * 3 and got[0]["scope"] == "years"
-    assert named[3] == ["AAPL-FY2025", "NVDA-FY2026"] and got[3]["latest"] and got[3]["scope"] == "latest"
-    assert named[4] == ["AAPL-FY2024", "AAPL-FY2025"] and got[4]["notes"] == ["No filing in the corpus for FY2019"] and got[4]["scope"] == "all"
-    assert [got[i]["scope"] for i in (5, 6, 8)] == [None] * 3 and got[7]["tickers"] == ["KO"]
-    assert named[9] == ["AAPL-FY2025", "KO-FY2025", "NVDA-FY2025"] and 10 not in named and got[10]["scope"] == "latest"
-    assert all(got[i]["n_docs"] == len(d) for i, d in named.items()) and got[10]["n_docs"] == 3 and got[5]["n_docs"] is None
-    newest = found.where("qid = 10").crossJoin(filters.dated_dimension(docs)).where(filters.in_scope())
-    assert rows(newest, "doc_id") == [("AAPL-FY2025",), ("KO-FY2025",), ("NVDA-FY2026",)]
+    assert named["short"] == named["long"] == named["two"] == ["QUAY-FY2031"] and got["short"]["scope"] == "years"
+    assert named["both"] == ["QUAY-FY2032", "TARN-FY2033"] and got["both"]["latest"] and got["both"]["scope"] == "latest"
+    assert named["missing"] == ["QUAY-FY2031", "QUAY-FY2032"] and got["missing"]["notes"] == ["No filing in the corpus for FY2025"] and got["missing"]["scope"] == "all"
+    assert [got[i]["scope"] for i in ("inside", "none", "null")] == [None] * 3 and got["ticker"]["tickers"] == ["OX"]
+    assert named["year"] == ["OX-FY2032", "QUAY-FY2032", "TARN-FY2032"] and "newest" not in named and got["newest"]["scope"] == "latest"
+    assert all(got[i]["n_docs"] == len(d) for i, d in named.items()) and got["newest"]["n_docs"] == 3 and got["none"]["n_docs"] is None
+    newest = found.where("qid = 'newest'").crossJoin(filters.dated_dimension(docs)).where(filters.in_scope())
+    assert rows(newest, "doc_id") == [("OX-FY2032",), ("QUAY-FY2032",), ("TARN-FY2033",)]
 
 
 def test_numbering_and_deltas(spark):
@@ -133,16 +136,17 @@ def test_splits_follow_the_one_by_one_rule(spark):
 
 def test_period_values(spark):
     d = dt.date
-    fact = lambda acc, fp, s, e, v, tag="Revenues": ("E", tag, "USD", acc, "10-K", fp, s, e, v)
+    this, before = (d(2032, 4, 1), d(2033, 3, 31)), (d(2031, 4, 1), d(2032, 3, 30))
+    fact = lambda acc, tag, span, v, form="10-K", fp="FY": ("E", tag, "USD", acc, form, fp, *span, v)
     f = [
-        fact("A", "FY", d(2024, 1, 29), d(2025, 1, 26), 130497e6), fact("A", "FY", d(2023, 1, 30), d(2024, 1, 28), 60922e6), fact("A", "Q4", d(2024, 10, 28), d(2025, 1, 26), 1.0),
-        fact("B", "FY", d(2024, 1, 29), d(2025, 1, 26), 2.0), ("E", "Revenues", "USD", "A", "10-Q", "FY", d(2024, 1, 29), d(2025, 1, 26), 3.0),
-        fact("A", "FY", None, d(2025, 1, 26), 5.0, "Cash"), fact("A", "FY", None, d(2025, 1, 26), 6.0, "Cash"),
+        fact("A", "Dues", this, 812.0), fact("A", "Dues", before, 745.0), fact("A", "Dues", (d(2033, 1, 1), this[1]), 9.0, fp="Q4"), fact("A", "Dues", (d(2033, 1, 1), this[1]), 9.0),
+        fact("B", "Dues", this, 2.0), fact("A", "Dues", this, 3.0, form="10-Q"), fact("A", "Chest", (None, this[1]), 5.0), fact("A", "Chest", (None, this[1]), 6.0),
+        fact("A", "Tolls", this, 44.0), fact("A", "Tolls", before, 40.0), fact("A", "Tolls", (d(2031, 4, 2), before[1]), 41.0),
     ]
     facts_df = spark.createDataFrame(f, "entity string, tag string, unit string, accn string, form string, fp string, start date, end date, val double")
-    concepts = spark.createDataFrame([("revenue", ["Sales", "Revenues"], "USD", True), ("cash", ["Cash"], "USD", False)], "concept string, tags array<string>, unit string, duration boolean")
-    filing = spark.createDataFrame([("D", "E", "A", d(2025, 1, 26))], "doc_id string, entity string, accession string, report_date date")
-    assert rows(facts.period_values(facts_df, concepts, filing), "concept", "current", "prior") == [("revenue", 130497e6, 60922e6)]
+    concepts = spark.createDataFrame([("dues", ["Fees", "Dues"], "USD", True), ("chest", ["Chest"], "USD", False), ("tolls", ["Tolls"], "USD", True)], "concept string, tags array<string>, unit string, duration boolean")
+    filing = spark.createDataFrame([("D", "E", "A", this[1])], "doc_id string, entity string, accession string, report_date date")
+    assert rows(facts.period_values(facts_df, concepts, filing), "concept", "current", "prior") == [("dues", 812.0, 745.0), ("tolls", 44.0, None)]
 
 
 def test_fixed_windows(spark):
