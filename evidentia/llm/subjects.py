@@ -55,6 +55,14 @@ def tokens(sentence: str) -> list[str]:
     return words
 
 
+def group_sums(table: np.ndarray, at: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Sums of the rows table[at] over the groups that begin at `firsts`, one column after another; fast where the table is held by columns."""
+    out = np.empty((len(firsts), table.shape[1]), table.dtype, order="F")
+    for j in range(table.shape[1]):
+        out[:, j] = np.add.reduceat(table[:, j].take(at), firsts)
+    return out
+
+
 class Rows:
     """Feature columns of many sentences, row after row."""
 
@@ -71,10 +79,10 @@ class Rows:
         self.starts = np.searchsorted(self.row, np.arange(self.n))
 
     def scores(self, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        out = np.repeat(bias[None, :], self.n, axis=0)
+        out = np.asfortranarray(np.repeat(bias[None, :], self.n, axis=0))
         if len(self.cols):
             full = np.flatnonzero(np.diff(np.append(self.starts, len(self.cols))))
-            sums = np.add.reduceat(weights[self.cols], self.starts[full], axis=0)
+            sums = group_sums(weights, self.cols, self.starts[full])
             size = np.diff(np.append(self.starts, len(self.cols)))[full]
             out[full] += sums / np.sqrt(size)[:, None]
         return out
@@ -91,10 +99,10 @@ def fit(rows: Rows, y: np.ndarray, start=None, rounds: int = 18, rate: float = 0
     """
     k = y.shape[1]
     used, local = np.unique(rows.cols, return_inverse=True)
-    w, g2 = np.zeros((len(used), k), np.float32), np.full((len(used), k), floor, np.float32)
+    w, g2 = np.zeros((len(used), k), np.float32, order="F"), np.full((len(used), k), floor, np.float32, order="F")
     b, gb2 = np.full(k, -2.0, np.float32), np.full(k, 1e-8, np.float32)
     if start is not None:
-        w, b = start[0][used].copy(), start[1].copy()
+        w, b = np.asfortranarray(start[0][used]), start[1].copy()
     size = np.diff(np.append(rows.starts, len(rows.cols)))
     scale = (1 / np.sqrt(np.maximum(size, 1))).astype(np.float32)
     small = Rows.__new__(Rows)
@@ -103,8 +111,8 @@ def fit(rows: Rows, y: np.ndarray, start=None, rounds: int = 18, rate: float = 0
     firsts = np.searchsorted(local[order], np.arange(len(used)))
     by_col = rows.row[order]
     for _ in range(rounds):
-        err = ((sigmoid(small.scores(w, b)) - y) * scale[:, None]).astype(np.float32)
-        g = np.add.reduceat(err[by_col], firsts, axis=0)
+        err = ((sigmoid(small.scores(w, b)) - y) * scale[:, None]).astype(np.float32, order="F")
+        g = group_sums(err, by_col, firsts)
         gb = (err / scale[:, None]).mean(axis=0)
         g2 += g * g
         gb2 += gb * gb
@@ -119,7 +127,7 @@ class Model:
     """Fitted classifiers; small and of a fixed size, so it may be broadcast."""
 
     def __init__(self, names: list[str], weights: np.ndarray, bias: np.ndarray, limits: np.ndarray):
-        self.names, self.weights, self.bias, self.limits = names, weights, bias, limits
+        self.names, self.weights, self.bias, self.limits = names, np.asfortranarray(weights), bias, limits
 
     def deals(self, rows: Rows) -> np.ndarray:
         return sigmoid(rows.scores(self.weights, self.bias)) >= self.limits
