@@ -39,19 +39,35 @@ def throttled_events(spark, d):
     return replay.min_interval(events(spark, d), "user_id", "ts", "event_id", 600.0).select("event_id", F.round("sent", 3).alias("sent"))
 
 
-@query()
+def _chain(keys: str, life: float, where: str = "true") -> str:
+    """CTEs ending in s(keys, n, mark): for each key its first event, then the first one `life` seconds or more after that, and so on; mark is (t, event_id)."""
+    on = " AND ".join(f"e.{k} = s.{k}" for k in keys.split(", "))
+    of = ", ".join(f"s.{k}" for k in keys.split(", "))
+    return (
+        f"e AS MATERIALIZED (SELECT event_id, user_id, event_type, {_T} AS t, struct_pack(t := {_T}, i := event_id) AS mark FROM events), "
+        f"s AS (SELECT {keys}, 1 AS n, min(mark) AS mark FROM e WHERE {where} GROUP BY {keys} UNION ALL SELECT {of}, s.n + 1, min(e.mark) FROM s JOIN e ON {on} WHERE {where} AND e.t >= s.mark.t + {life} GROUP BY {of}, s.n)"
+    )
+
+
+@query(f"WITH RECURSIVE {_chain('user_id, event_type', 21600.0)} SELECT e.event_id, CASE WHEN s.n IS NULL THEN 'hit' ELSE 'miss' END AS cache FROM e LEFT JOIN s ON s.user_id = e.user_id AND s.event_type = e.event_type AND s.mark.i = e.event_id")
 def cached_events(spark, d):
     """A cache per user and event type with six hours to live from the write."""
     return replay.ttl_cache(events(spark, d).select("event_id", "user_id", "event_type", "ts"), ["user_id", "event_type"], "ts", "event_id", 6 * 3600.0).select("event_id", "cache")
 
 
-@query()
+@query(f"WITH RECURSIVE {_chain('user_id', 1800.0)} SELECT e.event_id, e.user_id, CAST(max(s.n) AS INTEGER) AS session FROM e JOIN s ON s.user_id = e.user_id AND s.mark.t <= e.t GROUP BY e.event_id, e.user_id")
 def session_events(spark, d):
     """Sessions of 30 minutes from their issue."""
     return replay.fixed_sessions(events(spark, d).select("event_id", "user_id", "ts"), "user_id", "ts", "event_id").select("event_id", "user_id", "session")
 
 
-@query()
+_FAILED = _chain("user_id", 60.0, "e.event_type = 'error'").replace("FROM e WHERE e.event_type", "FROM e WHERE event_type")
+
+
+@query(
+    f"WITH RECURSIVE {_FAILED}, l AS (SELECT e.event_id, max(s.mark) AS last FROM e JOIN s ON s.user_id = e.user_id AND s.mark <= e.mark GROUP BY e.event_id) "
+    "SELECT e.event_id, e.user_id, CASE WHEN l.last IS NULL THEN 'ok' WHEN l.last.i = e.event_id THEN 'failed' WHEN e.t < l.last.t + 60.0 THEN 'skipped' ELSE 'ok' END AS outcome FROM e LEFT JOIN l USING (event_id)"
+)
 def provider_outcomes(spark, d):
     """Users as providers: an error makes a provider cold for a minute."""
     e = events(spark, d).select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed"))
