@@ -279,7 +279,7 @@ def _judge(shared):
     return run
 
 
-def learn_languages(texts: DataFrame, text: str, lang: str, *, per_language: int = 300, most_languages: int = 50, chars: tuple[int, int] = (200, 20_000)) -> Languages:
+def learn_languages(texts: DataFrame, text: str, lang: str, *, per_language: int = 300, most_languages: int = 50, chars: tuple[int, int] = (200, 4000)) -> Languages:
     """Models of the labelled languages, from at most `per_language` texts of a length within `chars` for each of `most_languages` labels.
 
     Labels are read without case; null, empty and "und" labels are none. Texts that clearly are of another
