@@ -14,7 +14,9 @@ The index is spread over the cluster by cells: the sample also gives centres, wh
 the rows, and neighbouring centres form a cell. A row is indexed in the cell of its nearest centre
 and asks there and in the cells of its `visits` nearest centres, so it travels about `visits` times
 however many rows there are. Centres are drawn from the rows, so dense regions have more of them; a
-cell that is still too large is cut into blocks by hash. Equal vectors are one class from the start:
+cell that is still too large is cut into blocks by hash. A block of at most WHOLE_ROWS rows is compared
+whole, larger ones through the buckets. Beyond DIRECT_CENTRES, centres are found by way of groups of
+centres, so that a row meets about 1,200 of them however many there are. Equal vectors are one class from the start:
 a class is indexed once, whatever its number of ids. Rows that find fewer than k neighbours within
 `far` are compared with every row of `WIDER` times as many cells, and so on until k are found.
 """
@@ -30,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, free_shuffles
 
 #: Rows that rotation and centres are fitted on, at least and at most; most centres; rows of a cell aimed at, and most rows of an index block.
 FIT_ROWS, MOST_FIT_ROWS, MOST_CENTRES, CELL_ROWS, BLOCK_ROWS = 6144, 32_768, 8192, 2000, 60_000
@@ -40,6 +42,10 @@ VISITS, WIDER = 3, 4
 LEAST_BITS, MOST_BITS = 8, 16
 #: Pairs of a query and a row that the scan ranks at once.
 MOST_TIED = 2_000_000
+#: Blocks up to this many rows are compared whole: the buckets probed hold about a quarter of such a block, and one matrix product takes less than collecting them.
+WHOLE_ROWS = 8192
+#: Up to this many centres a row is compared with each; beyond, with those of the LOOKED nearest groups of about sqrt(centres) each.
+DIRECT_CENTRES, LOOKED = 1024, 12
 
 
 def fit_rotation(x: np.ndarray, rounds: int = 8, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +64,11 @@ def fit_rotation(x: np.ndarray, rounds: int = 8, seed: int = 5) -> tuple[np.ndar
     return mean.astype(np.float32), (vectors @ r).astype(np.float32)
 
 
+def lengths(ints: np.ndarray) -> np.ndarray:
+    x = ints.astype(np.float32)
+    return np.sqrt(np.einsum("ij,ij->i", x, x).astype(np.float64))  # sums of squares of 8-bit numbers are exact in single precision up to 1,024 of them
+
+
 def units(ints: np.ndarray) -> np.ndarray:
     x = ints.astype(np.float32)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
@@ -75,9 +86,11 @@ def probe_patterns(bits: int, count: int, radius: int = 1) -> list[tuple[int, ..
 class Index:
     """Codes and substring tables of one block."""
 
-    def __init__(self, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarray):
+    def __init__(self, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarray, buckets: bool = True):
         self.ints = ints
-        self.norm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
+        self.norm = lengths(ints)
+        if not buckets:  # for scan() alone
+            return
         self.bits = min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(max(2, len(ints)))))))
         proj, self.words = codes(ints, mean, rotation)
         self.tables = []
@@ -116,7 +129,7 @@ def search(index: Index, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarra
     flips = np.zeros((len(patterns), bits), np.float32)
     for i, p in enumerate(patterns):
         flips[i, list(p)] = 1
-    qnorm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
+    qnorm = lengths(ints)
     qfloat = ints.astype(np.float32)
     size = len(index.ints)
     dims = proj.shape[1]
@@ -163,14 +176,15 @@ def best(index: Index, qfloat, qnorm, q, i, k: int, offset: int, most: int = 50_
 
 def scan(index: Index, ints: np.ndarray, k: int, step: int = 256):
     """As search(), against every row of the block."""
-    qnorm = np.sqrt((ints.astype(np.int64) ** 2).sum(axis=1).astype(np.float64))
+    qnorm = lengths(ints)
     qfloat, out, top = ints.astype(np.float32), [], min(len(index.ints), k + 1)
-    floats = index.ints.astype(np.float32).T
+    floats, inverse = index.ints.astype(np.float32).T, (1 / index.norm).astype(np.float32)
     for a in range(0, len(ints), step):
-        cos = (qfloat[a : a + step] @ floats).astype(np.float64) / index.norm
-        least = -np.partition(-cos, top - 1, axis=1)[:, top - 1]
-        # every row that ties with the last one kept, for best() to break ties by id; the slack is for rounding
-        tied = cos >= (least - 1e-12 * np.abs(least))[:, None]
+        cos = qfloat[a : a + step] @ floats
+        cos *= inverse
+        least = np.partition(cos, cos.shape[1] - top, axis=1)[:, cos.shape[1] - top]
+        # every row that ties with the last one kept, for best() to break ties by id; the slack is for rounding, best() is exact
+        tied = cos >= (least - 1e-6 * np.abs(least))[:, None]
         part = max(1, MOST_TIED // max(1, int(tied.sum(axis=1).max())))
         for c in range(0, len(tied), part):
             q, i = np.nonzero(tied[c : c + part])
@@ -178,11 +192,45 @@ def scan(index: Index, ints: np.ndarray, k: int, step: int = 256):
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
 
 
+def nearest(x: np.ndarray, c: np.ndarray, step: int = 2048) -> np.ndarray:
+    """The nearest centre of each row, a slice of rows at a time."""
+    return np.concatenate([(x[a : a + step] @ c.T).argmax(axis=1) for a in range(0, len(x), step)])
+
+
+def group_centres(centres: np.ndarray) -> tuple[list[np.ndarray], np.ndarray] | None:
+    """(members, means) of about sqrt(centres) groups of neighbouring centres; None where every centre is looked at."""
+    if len(centres) <= DIRECT_CENTRES:
+        return None
+    of = cells_of(centres, np.ones(len(centres)), int(np.sqrt(len(centres))))
+    members = [np.flatnonzero(of == g) for g in range(int(of.max()) + 1)]
+    return members, np.stack([centres[m].mean(axis=0) for m in members])
+
+
+def near_centres(x: np.ndarray, centres: np.ndarray, groups: tuple[list[np.ndarray], np.ndarray] | None, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the nearest centre, the `count` nearest ones in no order) of each row of length one."""
+    if groups is None or LOOKED >= len(groups[0]) or count > LOOKED * VISITS:
+        near = x @ centres.T
+        return near.argmax(axis=1), np.argpartition(-near, count - 1, axis=1)[:, :count]
+    members, means = groups
+    looked = np.argpartition(-(x @ means.T), LOOKED - 1, axis=1)[:, :LOOKED]
+    cos, ids = np.full((len(x), LOOKED, count), -np.inf, np.float32), np.zeros((len(x), LOOKED, count), np.int64)
+    order = np.argsort(looked, axis=None, kind="stable")
+    for g, at in enumerate(np.split(order, np.searchsorted(looked.ravel()[order], np.arange(1, len(members))))):
+        row, slot = at // LOOKED, at % LOOKED
+        near = x[row] @ centres[members[g]].T
+        n = min(count, near.shape[1])
+        best_ = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        cos[row, slot, :n], ids[row, slot, :n] = np.take_along_axis(near, best_, 1), members[g][best_]
+    cos, ids = cos.reshape(len(x), -1), ids.reshape(len(x), -1)
+    top = np.argpartition(-cos, count - 1, axis=1)[:, :count]
+    return ids[np.arange(len(x)), cos.argmax(axis=1)], np.take_along_axis(ids, top, 1)
+
+
 def fit_centres(x: np.ndarray, count: int, rounds: int = 5, seed: int = 6) -> np.ndarray:
     """Centres (length one) of rows of length one: rows drawn at random, moved to the mean of the rows nearest to them."""
     c = x[np.random.default_rng(seed).permutation(len(x))[:count]].copy()
     for _ in range(rounds):
-        near = (x @ c.T).argmax(axis=1)
+        near = nearest(x, c)
         order = np.argsort(near, kind="stable")
         own, firsts = np.unique(near[order], return_index=True)
         sums = np.add.reduceat(x[order], firsts, axis=0)
@@ -213,16 +261,14 @@ def _router(fit, visits: int, blocks: np.ndarray, widen: bool):
     """Each row to the cells it asks: (cell, block, rep, v, own); own in the one block where it is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, centres, cell = fit.value
+        _, _, centres, cell, groups = fit.value
         for batch in batches:
             t = pa.Table.from_batches([batch])
             if not len(t):
                 continue
             ints, home = _matrix(t), np.asarray(t.column("home"))
-            near = units(ints) @ centres.T
-            asked = min(visits, near.shape[1])
-            top = np.argpartition(-near, asked - 1, axis=1)[:, :asked]
-            mine = cell[near.argmax(axis=1)]
+            own, top = near_centres(units(ints), centres, groups, min(visits, len(centres)))
+            mine = cell[own]
             to = np.sort(np.concatenate([cell[top], mine[:, None]], axis=1), axis=1)
             keep = np.ones(to.shape, bool)
             keep[:, 1:] = to[:, 1:] != to[:, :-1]
@@ -250,8 +296,9 @@ def _searcher(fit, k: int, probes: int, far: float, everything: bool):
         if not len(rows) or not len(asking):
             return pa.table({"rep": pa.array([], kind), "near": pa.array([], pa.list_(pa.struct([("far", pa.float64()), ("rep", kind)])))})
         qi = _matrix(asking)
-        index = Index(_matrix(rows), mean, rotation)
-        q, i, cos = scan(index, qi, k) if everything else search(index, qi, mean, rotation, k, probes, far)
+        whole = everything or len(rows) <= WHOLE_ROWS
+        index = Index(_matrix(rows), mean, rotation, not whole)
+        q, i, cos = scan(index, qi, k) if whole else search(index, qi, mean, rotation, k, probes, far)
         order = np.argsort(q, kind="stable")
         q, i, cos = q[order], i[order], cos[order]
         who, firsts = np.unique(q, return_index=True)
@@ -285,7 +332,8 @@ def nearest_neighbours(
     kind = dict(df.dtypes)[id_col]
     v = F.col("v")
     good = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<tinyint>").alias("v"), F.col(order_col).alias("o")).where(
-        F.col("id").isNotNull() & (F.size(v) == dim) & ~F.exists(v, lambda x: x.isNull()) & F.exists(v, lambda x: x != 0)
+        # a search for a number that no element can be gives null, not false, where there is a null element
+        F.col("id").isNotNull() & (F.size(v) == dim) & F.array_contains(v.cast("array<smallint>"), F.lit(999).cast("smallint")).isNotNull() & ((F.array_max(v) != 0) | (F.array_min(v) != 0))
     )
     good = good.withColumn("h", F.concat_ws("-", F.hex(F.xxhash64("v")), F.hex(F.xxhash64(F.lit(1), v))))
     members = good.groupBy("id").agg(F.min_by("h", "o").alias("h"))
@@ -294,6 +342,8 @@ def nearest_neighbours(
     ids = members.withColumn("_n", F.row_number().over(lowest)).where(F.col("_n") <= k + 1).groupBy("h").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     vectors = good.groupBy("h").agg(F.first("v").alias("v"))
     classes = cut_lineage(ids.join(vectors, "h").select("h", F.col("ids")[0].alias("rep"), "ids", "v"))
+    del ids, vectors
+    free_shuffles(spark)  # the vectors are in the checkpoint now
     n = classes.count()
     if not n:
         return spark.createDataFrame([], f"id_a {kind}, id_b {kind}, cos double, rank int")
@@ -301,19 +351,15 @@ def nearest_neighbours(
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(min(MOST_FIT_ROWS, max(FIT_ROWS, 4 * n_centres))).select("v").toArrow()
     x = units(_matrix(sample))
     centres = fit_centres(x, n_centres)
-    weight = np.bincount((x @ centres.T).argmax(axis=1), minlength=n_centres)
+    weight = np.bincount(nearest(x, centres), minlength=n_centres)
     cell = cells_of(centres, weight, min(n_centres, max(24, n // CELL_ROWS)))
-    fit = spark.sparkContext.broadcast((*fit_rotation(x[:FIT_ROWS]), centres, cell))
+    fit = spark.sparkContext.broadcast((*fit_rotation(x[:FIT_ROWS]), centres, cell, group_centres(centres)))
     rows = classes.select("rep", "v", F.pmod(F.xxhash64("rep", F.lit(3)), F.lit(1 << 30)).cast("int").alias("home"))
     routed = f"cell int, block int, rep {kind}, v array<tinyint>, own boolean"
     n_cells = int(cell.max()) + 1
-    # how many rows each cell holds: at most as many numbers as there are centres
-    largest = -(-n // n_cells)
-    blocks = np.full(n_cells, max(1, -(-largest // BLOCK_ROWS)), np.int64)
-    if n > BLOCK_ROWS:
-        held = rows.mapInArrow(_router(fit, 1, np.ones(n_cells, np.int64), False), routed).groupBy("cell").count().collect()
-        for c, size in held:
-            blocks[c] = max(1, -(-size // BLOCK_ROWS))
+    # how many rows each cell holds, from the sample and with a quarter more: only the size of an index block hangs on it
+    held = np.bincount(cell, weight, n_cells) * (1.25 * n / len(x))
+    blocks = np.maximum(1, np.ceil(held / BLOCK_ROWS)).astype(np.int64)
 
     def ask(queries: DataFrame | None, visits: int) -> DataFrame:
         """(rep, near): the nearest classes of every row, or of `queries` among whole cells."""
@@ -327,6 +373,7 @@ def nearest_neighbours(
         return merged.select("rep", F.slice(F.array_sort(F.filter("near", lambda x: x["rep"] != F.col("rep"))), 1, k).alias("near"))
 
     top = cut_lineage(ask(None, visits))
+    free_shuffles(spark)
     exhausted = False
     while not exhausted:
         # a class with fewer than k others in sight, its own ids counted; found without moving any vector

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -302,6 +303,30 @@ def test_scan_breaks_ties_by_id(monkeypatch):
         assert [i[q == a].tolist() for a in range(400)] == want
 
 
+def test_small_blocks_are_compared_whole():
+    rng = np.random.default_rng(31)
+    x = rng.integers(-90, 90, (500, 32)).astype(np.int8)  # nothing is within `far` of anything here
+    fit = type("Fit", (), {"value": neighbours.fit_rotation(neighbours.units(x))})
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.int8()))
+    t = pa.table({"rep": [f"c{i:03d}" for i in range(500)], "v": flat, "own": [True] * 500, "asks": [True] * 500})
+    got = {r["rep"]: [n["rep"] for n in sorted(r["near"], key=lambda n: (n["far"], n["rep"]))] for r in neighbours._searcher(fit, 5, 480, 0.1, False)(t).to_pylist()}
+    f = x.astype(float)
+    cos = (f @ f.T) / np.sqrt((f * f).sum(1)) / np.sqrt((f * f).sum(1))[:, None]
+    assert got == {f"c{i:03d}": [f"c{j:03d}" for j in np.lexsort((np.arange(500), -cos[i].round(12)))[:6]] for i in range(500)}
+
+
+def test_many_centres_are_found_by_groups():
+    rng = np.random.default_rng(32)
+    x = neighbours.units(rng.standard_normal((60, 24))[rng.integers(0, 60, 6000)] + 0.7 * rng.standard_normal((6000, 24)))
+    centres = neighbours.fit_centres(x, 1500, rounds=1)
+    groups = neighbours.group_centres(centres)
+    assert neighbours.group_centres(centres[:1000]) is None and sorted(np.concatenate(groups[0])) == list(range(1500))
+    own, top = neighbours.near_centres(x, centres, groups, 3)
+    near = x @ centres.T
+    assert (own == near.argmax(1)).mean() > 0.98 and (np.sort(top, 1) == np.sort(np.argsort(-near, 1)[:, :3], 1)).all(1).mean() > 0.95
+    assert (neighbours.near_centres(x, centres, groups, 1)[0] == own).all()  # a row's home does not hang on how many it asks
+
+
 # ---- encoding
 
 
