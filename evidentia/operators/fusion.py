@@ -40,3 +40,11 @@ def overlap_scores(pairs: DataFrame, query_terms: DataFrame, posts: DataFrame) -
     n = q.groupBy("qid").agg(F.count("*").alias("n"))
     hit = pairs.select("qid", "row").join(q, "qid").join(posts.select("row", "term"), ["row", "term"]).groupBy("qid", "row").agg(F.count("*").alias("c"))
     return pairs.select("qid", "row").join(hit, ["qid", "row"], "left").join(n, "qid", "left").select("qid", "row", (F.coalesce("c", F.lit(0)) / F.coalesce("n", F.lit(1))).alias("rerank_score"))
+
+
+def overlap_in_texts(pairs: DataFrame, query_terms: DataFrame, texts: DataFrame) -> DataFrame:
+    """As overlap_scores(), from query_terms(qid, terms) and texts(row, terms): each pair meets its text once, and no posting is moved."""
+    q = query_terms.select("qid", F.array_distinct("terms").alias("_asked"))
+    j = pairs.select("qid", "row").join(q, "qid", "left").join(texts.select("row", F.col("terms").alias("_held")), "row", "left")
+    met = F.coalesce(F.size(F.array_intersect("_asked", "_held")), F.lit(0))
+    return j.select("qid", "row", (F.greatest(met, F.lit(0)) / F.greatest(F.coalesce(F.size("_asked"), F.lit(1)), F.lit(1))).alias("rerank_score"))

@@ -6,8 +6,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from evidentia.functions import text as text_functions
 from evidentia.operators import answers, chunking, dense, facts, filters, fusion, intervals, judging, lexical, numbering, synthesis
-from evidentia.plans import verification
+from evidentia.plans import evaluation, verification
 from evidentia.streaming import replay
 
 
@@ -28,6 +29,42 @@ def test_bm25_and_mask(spark):
     assert lexical.bm25_scores(p, stats, q.where("false")).count() == 0
 
 
+def test_search_by_blocks_gives_the_best_of_all_hits(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    words = [f"term{i}" for i in range(60)]
+    some = lambda n: " ".join(words[min(59, int(rng.expovariate(0.12)))] for _ in range(n))
+    docs = [(f"d{i:03d}", some(rng.randint(1, 12)), f"T{i % 3}" if i % 7 else None, i % 4) for i in range(300)]
+    docs += [(f"e{i:03d}", docs[7][1], "T1", 1) for i in range(40)] + [("none", None, "T1", 1), ("empty", "", "T1", 1)]
+    d = spark.createDataFrame(docs, "row string, text string, ticker string, fy int").repartition(3)
+    lexical.write_index(d, "row", "text", str(tmp_path))
+    ix = lexical.read_index(spark, str(tmp_path))
+    asked = [(f"q{i}", some(rng.randint(1, 9)), *[([], [], None), (["T1"], [], "all"), (["T1", "T2"], [1, 2], "years"), ([], [], "latest"), ([], [], "all")][i % 5]) for i in range(40)] + [("q90", "unknown", [], [], None), ("q91", None, [], [], None), ("q92", docs[7][1], [], [], None)]
+    q = spark.createDataFrame(asked, "qid string, text string, tickers array<string>, fiscal_years array<int>, scope string")
+    filing = d.select("row", "ticker", "fy", (F.col("fy") == 3).alias("newest")).where("ticker IS NOT NULL")
+    in_scope = lambda hit: hit.join(q.drop("text"), "qid").join(filing, "row", "left").where(filters.in_scope() & (F.col("scope").isNull() | F.col("ticker").isNotNull()))
+    posts, stats = lexical.postings(d, "row", "text"), lexical.corpus_stats(d, "text")
+    best = lambda s, k: rows(lexical.top_hits(s, k), "qid", "rank", "row", "score")
+    for k in (3, 20):
+        want = best(lexical.bm25_scores(posts, stats, q), k), best(lexical.bm25_scores(posts, stats, q, in_scope), k)
+        for at_once, texts in ((lexical.ASKED_AT_ONCE, lexical.BLOCK_TEXTS), (15, 32)):
+            monkeypatch.setattr(lexical, "ASKED_AT_ONCE", at_once)
+            monkeypatch.setattr(lexical, "BLOCK_TEXTS", texts)
+            assert best(lexical.search(ix, q, k), k) == want[0]
+            masked = lexical.search(ix, q, k, (ix.texts.join(filing, "row", "left"), filters.scope_mask))
+            assert best(masked, k) == want[1]
+            assert masked.count() < (1 if at_once > 15 else 12) * 3 * 2 * k * len(asked)  # far fewer than there are hits
+    pairs = lexical.search(ix, q, 5).select("qid", "row").unionAll(spark.createDataFrame([("q90", "d001"), ("q91", "d001"), ("q99", "d002")], "qid string, row string"))
+    terms = q.select("qid", text_functions.tokens(F.col("text")).alias("terms"))
+    cols = "qid", "row", "rerank_score"
+    assert rows(fusion.overlap_in_texts(pairs, terms, ix.texts), *cols) == rows(fusion.overlap_scores(pairs, terms.select("qid", F.explode("terms").alias("term")), posts), *cols)
+
+
+def test_window_plans_reach_the_largest_offsets(spark, tmp_path):
+    spark.createDataFrame([("c", "d", 2**31 - 1)], "chunk_id string, doc_id string, char_end int").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = evaluation.window_plan_overlap(spark, str(tmp_path)).orderBy("w").collect()
+    assert len(got) == 268436 and tuple(got[0])[1:] == (0, 2, 6000) and got[-1]["shared"] == 3000
+
+
 def test_quantize_and_dense(spark):
     v = [(0, [3.0, 3.0, 0.0, 0.0]), (1, [1.0, 1.0, 0.0, 0.0]), (2, [0.0, 0.0, 5.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0, 0.0])]
     q = dense.quantize(spark.createDataFrame(v, "row int, e array<double>"), "e")
