@@ -97,7 +97,8 @@ def streamed_hourly_counts(spark, d):
 def streamed_rate_limit(spark, d):
     """Structured Streaming: the rate limit with keyed state."""
     s = live.event_stream(spark, d).select("event_id", "user_id", "ts")
-    return live.drain(live.rate_limited(s, "user_id", "ts", "event_id", 2, 3600)).select("event_id", "admitted")
+    buckets = max(256, table(spark, d, "events").count() // 32_768)  # all that is there comes in one micro-batch
+    return live.drain(live.rate_limited(s, "user_id", "ts", "event_id", 2, 3600, buckets=buckets)).select("event_id", "admitted")
 
 
 _GAP = "CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 1800000000 THEN 0 ELSE 1 END"

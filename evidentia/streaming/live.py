@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -47,42 +47,57 @@ def session_counts(stream: DataFrame, ts: str, by: str, gap: str = "30 minutes",
     return g.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
 
-def keyed_state(stream: DataFrame, key: str | list[str], order: list[str], step: Callable[[dict, pd.Series], object], name: str, kind: str, state: str, until: str | None = None) -> DataFrame:
-    """A stream with one more column: step(state, row) per key, rows of a micro-batch in order; `state` is the DDL of the state's fields.
+_WHOLE = {"tinyint", "smallint", "int", "bigint", "timestamp"}
+_NEVER = 2**63 - 1
 
-    The rows of one key in one micro-batch are sorted together, so a key should hold what belongs together
-    in time, such as a client and its window. With `until`, DDL field of the state that holds the end of
-    its use in milliseconds of event time, the state goes once the watermark has passed it.
+
+def keyed_places(stream: DataFrame, key: str, event: str, until: str, order: list[str], name: str, buckets: int = 256) -> DataFrame:
+    """A stream with one more column, and without `event`, which has the watermark: the place of a row among those of its key and `until` so far, rows of a micro-batch in order.
+
+    Keys are dealt to `buckets` by hash and a bucket's counts are one state, so a micro-batch takes as many calls
+    of Python as there are buckets, not keys. `until` is the end of a count's use in milliseconds of event time: it
+    goes once the watermark has passed it (rows without `until` count together and stay). Whole numbers and times
+    pass through Python as longs beside a mark for null, as pandas would turn them into floats or local times.
     """
-    fields = [x.strip().split()[0] for x in state.split(",")]
-    cols = stream.columns
-    schema = ", ".join(f"`{c}` {t}" for c, t in stream.dtypes) + f", {name} {kind}"
+    whole = {c: t for c, t in stream.dtypes if t in _WHOLE and c != event}
+    long = {c: F.coalesce(F.unix_micros(c) if t == "timestamp" else F.col(c).cast("bigint"), F.lit(0).cast("bigint")) for c, t in whole.items()}
+    back = {c: F.when(~F.col(f"_no_{c}"), F.timestamp_micros(c) if t == "timestamp" else F.col(c).cast(t)) for c, t in whole.items()}
+    own = {"_key": F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("")), "_until": F.coalesce(F.col(until), F.lit(_NEVER))}
+    d = stream.withColumns(own | {f"_no_{c}": F.col(c).isNull() for c in whole} | long)
+    d = d.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_until"), F.lit(buckets)))
+    kept = [(c, t) for c, t in d.dtypes if c not in (event, "_key", "_until", "_bucket")]
+    by, cols = ["_key", "_until"], [c for c, _ in kept]
+    order = [x for c in order for x in ([f"_no_{c}", c] if c in whole else [c])]
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        if held.hasTimedOut:
+        seen, rows = pd.DataFrame(dict(zip([*by, name], held.get, strict=True))) if held.exists else None, None
+        if not held.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True).sort_values(order, ignore_index=True)
+            rows[name] = rows.groupby(by, sort=False).cumcount() + 1
+            if seen is not None:
+                rows[name] += rows[by].merge(seen, "left", by)[name].fillna(0).astype("int64")
+            seen = pd.concat([seen, rows[[*by, name]]]).drop_duplicates(by, keep="last")
+        seen = seen[seen["_until"].clip(lower=1) > held.getCurrentWatermarkMs()]  # a watermark starts at 0, in 1970
+        if seen.empty:
             held.remove()
-            return
-        now = dict(zip(fields, held.get, strict=True)) if held.exists else {}
-        rows = pd.concat(list(batches)).sort_values(order)  # one key's rows of one micro-batch
-        got = [step(now, r) for r in rows.itertuples(index=False)]
-        held.update(tuple(now.get(f) for f in fields))
-        if until and now[until] > held.getCurrentWatermarkMs():
-            held.setTimeoutTimestamp(now[until])
-        yield rows.assign(**{name: got})[[*cols, name]]
+        else:
+            held.update(tuple(seen[c].tolist() for c in (*by, name)))
+            if (end := int(seen["_until"].min())) < _NEVER:
+                held.setTimeoutTimestamp(max(end, 1))
+        if rows is not None:
+            yield rows[[*cols, name]]
 
-    timeout = GroupStateTimeout.EventTimeTimeout if until else GroupStateTimeout.NoTimeout
-    return stream.groupBy(*([key] if isinstance(key, str) else key)).applyInPandasWithState(run, schema, state, "append", timeout)
+    schema = ", ".join(f"`{c}` {t}" for c, t in kept) + f", `{name}` bigint"
+    state = "keys array<string>, untils array<bigint>, places array<bigint>"
+    out = d.groupBy("_bucket").applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    return out.withColumns(back).select(*(c for c in stream.columns if c != event), name)
 
 
-def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: int = 60, late: str = "1 hour") -> DataFrame:
+def rate_limited(stream: DataFrame, key: str, ts: str, tie: str, limit: int = 6, window: int = 60, late: str = "1 hour", buckets: int = 256) -> DataFrame:
     """admitted per request, in tumbling windows; the state is the count of one window, and goes when the watermark has passed it by `late`."""
-    cols = stream.columns
-    slotted = stream.withWatermark(ts, late).withColumn("_slot", F.floor(F.unix_micros(F.col(ts)) / (window * 1_000_000)))
-    at = slotted.columns.index("_slot")
-
-    def step(state: dict, row) -> bool:
-        state["n"] = (state.get("n") or 0) + 1
-        state["gone"] = int((row[at] + 1) * window * 1000)
-        return state["n"] <= limit
-
-    return keyed_state(slotted, [key, "_slot"], [ts, tie], step, "admitted", "boolean", "n long, gone long", "gone").select(*cols, "admitted")
+    # to a watermark of 0 what came before 1970 would be late, and pandas has no time after 2262
+    first, last = F.timestamp_micros(F.lit(1)), F.timestamp_seconds(F.lit(9_000_000_000))
+    event = F.when(F.col(ts) < first, first).when(F.col(ts) > last, last).otherwise(F.col(ts))
+    end = (F.floor(F.unix_micros(F.col(ts)) / (window * 1_000_000)) + 1) * (window * 1000)
+    timed = stream.withColumns({"_event": event, "_end": end}).withWatermark("_event", late)
+    return keyed_places(timed, key, "_event", "_end", [ts, tie], "_place", buckets).select(*stream.columns, (F.col("_place") <= limit).alias("admitted"))
