@@ -65,6 +65,28 @@ def test_window_plans_reach_the_largest_offsets(spark, tmp_path):
     assert len(got) == 268436 and tuple(got[0])[1:] == (0, 2, 6000) and got[-1]["shared"] == 3000
 
 
+def test_window_plans_of_few_keys_are_dealt_to_all_tasks(spark, tmp_path):
+    ends = [("a", 1), ("b", 5000), ("c", 8001), ("d", 40_007), ("e", 123_456), ("f", 0), ("g", None), ("h", 10_000_019)]
+    n = spark.createDataFrame(ends, "k string, n int")
+    for one, other in (((9000, 8000), (3000, 5000)), ((70, 50), (900, 300)), ((3, 100_000), (5, 7))):
+        few = [(k, e) for k, e in ends if e and (e < 10**6 or one[1] > 1000)]
+        want = []
+        for k, e in few:
+            for w in range(-(-e // one[1])):
+                a, b = w * one[1], min(w * one[1] + one[0], e)
+                near = range(max(0, a // other[1] - other[0] // other[1] - 2), min(-(-e // other[1]), b // other[1] + 2))
+                met = [x for x in (min(b, v * other[1] + other[0], e) - max(a, v * other[1]) for v in near) if x > 0]
+                want += [(k, w, len(met), sum(met))] if met else []
+        got = intervals.plan_overlaps(n.where(F.col("k").isin([k for k, _ in few])), "k", "n", one, other, block=100)
+        assert sorted(map(tuple, got.collect())) == want
+    spark.createDataFrame([("c", "d", 2_000_000_000)], "chunk_id string, doc_id string, char_end int").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = evaluation.window_plan_overlap(spark, str(tmp_path))
+    held = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in held) == 250_000 and len(held) > 1 and max(r["count"] for r in held) < 150_000
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_quantize_and_dense(spark):
     v = [(0, [3.0, 3.0, 0.0, 0.0]), (1, [1.0, 1.0, 0.0, 0.0]), (2, [0.0, 0.0, 5.0, 0.0]), (3, [1.0, 0.0, 0.0, 0.0]), (4, [0.0, 0.0, 0.0, 0.0])]
     q = dense.quantize(spark.createDataFrame(v, "row int, e array<double>"), "e")
