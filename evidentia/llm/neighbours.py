@@ -40,10 +40,10 @@ FIT_ROWS, MOST_FIT_ROWS, MOST_CENTRES, CELL_ROWS, BLOCK_ROWS = 6144, 32_768, 819
 VISITS, WIDER = 3, 4
 #: Bits of a substring, by the rows of the index.
 LEAST_BITS, MOST_BITS = 8, 16
-#: Pairs of a query and a row that the scan ranks at once.
-MOST_TIED = 2_000_000
-#: Blocks up to this many rows are compared whole: the buckets probed hold about a quarter of such a block, and one matrix product takes less than collecting them.
-WHOLE_ROWS = 8192
+#: Pairs of a query and a row that the scan compares, and ranks, at once; rows that it folds into one maximum.
+MOST_TIED, FOLD = 6_000_000, 16
+#: Blocks up to this many rows are compared whole: the buckets probed hold about a quarter of a small block, and one matrix product takes a seventh to a ninth of collecting them at 16,000 and 46,000 rows.
+WHOLE_ROWS = 65_536
 #: Up to this many centres a row is compared with each; beyond, with those of the LOOKED nearest groups of about sqrt(centres) each.
 DIRECT_CENTRES, LOOKED = 1024, 12
 
@@ -162,11 +162,16 @@ def search(index: Index, ints: np.ndarray, mean: np.ndarray, rotation: np.ndarra
 
 
 def best(index: Index, qfloat, qnorm, q, i, k: int, offset: int, most: int = 50_000):
-    """The k + 1 best of given (query, row) pairs; ties go to the earlier row."""
+    """The k + 1 best of given (query, row) pairs."""
     cos = np.empty(q.size)
     for x in range(0, q.size, most):
         y = slice(x, x + most)
         cos[y] = np.einsum("ij,ij->i", qfloat[q[y]], index.ints[i[y]].astype(np.float32)).astype(np.float64) / (qnorm[q[y]] * index.norm[i[y]])
+    return ranked(q, i, cos, k, offset)
+
+
+def ranked(q, i, cos, k: int, offset: int):
+    """The k + 1 pairs of each query with the greatest cosine; ties go to the earlier row."""
     order = np.lexsort((i, -cos, q))
     q, i, cos = q[order], i[order], cos[order]
     rank = np.arange(q.size) - np.searchsorted(q, q)
@@ -174,21 +179,23 @@ def best(index: Index, qfloat, qnorm, q, i, k: int, offset: int, most: int = 50_
     return q[keep] + offset, i[keep], cos[keep]
 
 
-def scan(index: Index, ints: np.ndarray, k: int, step: int = 256):
+def scan(index: Index, ints: np.ndarray, k: int):
     """As search(), against every row of the block."""
-    qnorm = lengths(ints)
-    qfloat, out, top = ints.astype(np.float32), [], min(len(index.ints), k + 1)
-    floats, inverse = index.ints.astype(np.float32).T, (1 / index.norm).astype(np.float32)
+    rows, top = len(index.ints), min(len(index.ints), k + 1)
+    qnorm, qfloat = lengths(ints), ints.astype(np.float32)
+    floats, inverse, out = index.ints.astype(np.float32).T, (1 / index.norm).astype(np.float32), []
+    step = max(1, min(256, MOST_TIED // rows))
+    parts = rows // FOLD
     for a in range(0, len(ints), step):
-        cos = qfloat[a : a + step] @ floats
-        cos *= inverse
-        least = np.partition(cos, cos.shape[1] - top, axis=1)[:, cos.shape[1] - top]
-        # every row that ties with the last one kept, for best() to break ties by id; the slack is for rounding, best() is exact
-        tied = cos >= (least - 1e-6 * np.abs(least))[:, None]
-        part = max(1, MOST_TIED // max(1, int(tied.sum(axis=1).max())))
-        for c in range(0, len(tied), part):
-            q, i = np.nonzero(tied[c : c + part])
-            out.append(best(index, qfloat[a : a + step], qnorm[a : a + step], q + c, i, k, a))
+        dots = qfloat[a : a + step] @ floats  # whole numbers, exact as long as sums of squares are
+        cos = dots * inverse
+        # the top-th of the maxima of FOLD rows each is no more than the top-th of all, and found at a fraction of the work
+        heads = cos[:, : parts * FOLD].reshape(len(cos), FOLD, parts).max(axis=1) if parts >= top else cos
+        least = np.partition(heads, heads.shape[1] - top, axis=1)[:, heads.shape[1] - top]
+        # every row that ties with the last one kept, for ranked() to break ties by id; the slack is for rounding, ranked() is exact
+        at = np.flatnonzero(cos >= (least - 1e-6 * np.abs(least))[:, None])
+        q, i = at // rows, at % rows
+        out.append(ranked(q, i, dots.ravel()[at].astype(np.float64) / (qnorm[a + q] * index.norm[i]), k, a))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.empty(0, int),) * 3
 
 

@@ -315,6 +315,20 @@ def test_small_blocks_are_compared_whole():
     assert got == {f"c{i:03d}": [f"c{j:03d}" for j in np.lexsort((np.arange(500), -cos[i].round(12)))[:6]] for i in range(500)}
 
 
+def test_large_blocks_are_compared_whole_too():
+    rng, n = np.random.default_rng(33), 9000
+    x = rng.integers(-90, 90, (n, 32)).astype(np.int8)
+    x[8000:8040] = x[5]
+    asks = np.arange(n) % 30 == 5
+    fit = type("Fit", (), {"value": neighbours.fit_rotation(neighbours.units(x))})
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), 32).cast(pa.list_(pa.int8()))
+    t = pa.table({"rep": [f"c{i:04d}" for i in range(n)], "v": flat, "own": [True] * n, "asks": asks})
+    got = {r["rep"]: [n["rep"] for n in sorted(r["near"], key=lambda n: (n["far"], n["rep"]))] for r in neighbours._searcher(fit, 5, 480, 0.42, False)(t).to_pylist()}
+    f = x.astype(float)
+    cos = (f[asks] @ f.T) / np.sqrt((f * f).sum(1)) / np.sqrt((f[asks] * f[asks]).sum(1))[:, None]
+    assert got == {f"c{i:04d}": [f"c{j:04d}" for j in np.lexsort((np.arange(n), -c.round(12)))[:6]] for i, c in zip(np.flatnonzero(asks), cos, strict=True)}
+
+
 def test_many_centres_are_found_by_groups():
     rng = np.random.default_rng(32)
     x = neighbours.units(rng.standard_normal((60, 24))[rng.integers(0, 60, 6000)] + 0.7 * rng.standard_normal((6000, 24)))
