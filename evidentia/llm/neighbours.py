@@ -15,7 +15,7 @@ the rows, and neighbouring centres form a cell. A row is indexed in the cell of
 and asks there and in the cells of its `visits` nearest centres, so it travels about `visits` times
 however many rows there are. Centres are drawn from the rows, so dense regions have more of them; a
 cell that is still too large is cut into blocks by hash. A block of at most WHOLE_ROWS rows is compared
-whole, larger ones through the buckets. Beyond DIRECT_CENTRES, centres are found by way of groups of
+whole, larger ones through the buckets. From LARGE_ROWS rows on the cells are asked in parts. Beyond DIRECT_CENTRES, centres are found by way of groups of
 centres, so that a row meets about 1,200 of them however many there are. Equal vectors are one class from the start:
 a class is indexed once, whatever its number of ids. Rows that find fewer than k neighbours within
 `far` are compared with every row of `WIDER` times as many cells, and so on until k are found.
@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, free_shuffles
+from ..session import cut_lineage, free_shuffles, shared_path
 
 #: Rows that rotation and centres are fitted on, at least and at most; most centres; rows of a cell aimed at, and most rows of an index block.
 FIT_ROWS, MOST_FIT_ROWS, MOST_CENTRES, CELL_ROWS, BLOCK_ROWS = 6144, 32_768, 8192, 2000, 60_000
@@ -44,6 +44,8 @@ LEAST_BITS, MOST_BITS = 8, 16
 MOST_TIED, FOLD = 6_000_000, 16
 #: Blocks up to this many rows are compared whole: the buckets probed hold about a quarter of a small block, and one matrix product takes a seventh to a ninth of collecting them at 16,000 and 46,000 rows.
 WHOLE_ROWS = 65_536
+#: From this many rows on the cells are asked in PARTS parts, one after another, so that only a part of the copies of the rows is on disk at a time.
+LARGE_ROWS, PARTS = 250_000, 3
 #: Up to this many centres a row is compared with each; beyond, with those of the LOOKED nearest groups of about sqrt(centres) each.
 DIRECT_CENTRES, LOOKED = 1024, 12
 
@@ -264,8 +266,8 @@ def cells_of(centres: np.ndarray, weight: np.ndarray, count: int) -> np.ndarray:
     return out
 
 
-def _router(fit, visits: int, blocks: np.ndarray, widen: bool):
-    """Each row to the cells it asks: (cell, block, rep, v, own); own in the one block where it is indexed."""
+def _router(fit, visits: int, blocks: np.ndarray, widen: bool, part: int = 0, parts: int = 1):
+    """Each row to the cells it asks, of every parts-th cell: (cell, block, rep, v, own); own in the one block where it is indexed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, _, centres, cell, groups = fit.value
@@ -277,8 +279,8 @@ def _router(fit, visits: int, blocks: np.ndarray, widen: bool):
             own, top = near_centres(units(ints), centres, groups, min(visits, len(centres)))
             mine = cell[own]
             to = np.sort(np.concatenate([cell[top], mine[:, None]], axis=1), axis=1)
-            keep = np.ones(to.shape, bool)
-            keep[:, 1:] = to[:, 1:] != to[:, :-1]
+            keep = to % parts == part
+            keep[:, 1:] &= to[:, 1:] != to[:, :-1]
             row, col = np.nonzero(keep)
             where = to[row, col]
             times = blocks[where]
@@ -368,18 +370,34 @@ def nearest_neighbours(
     held = np.bincount(cell, weight, n_cells) * (1.25 * n / len(x))
     blocks = np.maximum(1, np.ceil(held / BLOCK_ROWS)).astype(np.int64)
 
-    def ask(queries: DataFrame | None, visits: int) -> DataFrame:
-        """(rep, near): the nearest classes of every row, or of `queries` among whole cells."""
+    def ask(queries: DataFrame | None, visits: int, part: int = 0, parts: int = 1) -> DataFrame:
+        """(rep, near): the nearest classes in each block that a row asks; of `queries` among whole cells."""
         if queries is None:
-            sent = rows.mapInArrow(_router(fit, visits, blocks, False), routed).withColumn("asks", F.lit(True))
+            sent = rows.mapInArrow(_router(fit, visits, blocks, False, part, parts), routed).withColumn("asks", F.lit(True))
         else:
             held = rows.mapInArrow(_router(fit, 1, blocks, False), routed).where("own").withColumn("asks", F.lit(False))
             sent = held.unionAll(queries.mapInArrow(_router(fit, visits, blocks, True), routed).withColumn("asks", F.lit(True)))
-        found = sent.groupBy("cell", "block").applyInArrow(_searcher(fit, k, probes, far, queries is not None), f"rep {kind}, near array<struct<far: double, rep: {kind}>>")
-        merged = found.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("near"))  # k + 1 from each of a few cells
-        return merged.select("rep", F.slice(F.array_sort(F.filter("near", lambda x: x["rep"] != F.col("rep"))), 1, k).alias("near"))
-
-    top = cut_lineage(ask(None, visits))
+        return sent.groupBy("cell", "block").applyInArrow(_searcher(fit, k, probes, far, queries is not None), f"rep {kind}, near array<struct<far: double, rep: {kind}>>")
+
+    def merged(found: DataFrame) -> DataFrame:
+        """(rep, near): the k nearest of every row."""
+        lists = found.groupBy("rep").agg(F.flatten(F.collect_list("near")).alias("near"))  # k + 1 from each of a few cells
+        return lists.select("rep", F.slice(F.array_sort(F.filter("near", lambda x: x["rep"] != F.col("rep"))), 1, k).alias("near"))
+
+    if n < LARGE_ROWS:
+        top = cut_lineage(merged(ask(None, visits)))
+    else:
+        path, top = shared_path(spark, "near"), None
+        for part in range(PARTS):
+            ask(None, visits, part, PARTS).write.option("compression", "zstd").parquet(f"{path}/{part}")
+            free_shuffles(spark)
+        found = spark.read.parquet(*(f"{path}/{part}" for part in range(PARTS)))
+        for part in range(PARTS):
+            some = cut_lineage(merged(found.where(F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(PARTS)) == part)))
+            top = top.unionAll(some) if top else some
+            free_shuffles(spark)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     free_shuffles(spark)
     exhausted = False
     while not exhausted:
@@ -391,8 +409,13 @@ def nearest_neighbours(
             break
         visits = min(n_centres, visits * WIDER)
         exhausted = visits == n_centres
-        more = ask(rows.join(few, "rep", "left_semi"), visits)
+        more = merged(ask(rows.join(few, "rep", "left_semi"), visits))
         top = cut_lineage(top.join(few, "rep", "left_anti").unionAll(more))
+        more = None
+    if n >= LARGE_ROWS:
+        classes = cut_lineage(classes.drop("v"))
+        rows = few = seen = sample = None
+        free_shuffles(spark)  # the vectors have done their part
     # from classes to ids
     multi = classes.where("size(ids) > 1").select(F.col("rep").alias("rb"), F.col("ids").alias("many"))
     wide = top.select("rep", F.explode("near").alias("x")).select("rep", F.col("x.far").alias("far"), F.col("x.rep").alias("rb")).join(multi, "rb", "left")

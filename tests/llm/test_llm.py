@@ -289,6 +289,26 @@ def test_many_equal_vectors_and_several_blocks(spark, monkeypatch):
         assert len(got) == 1500 and {(r["id_a"], r["id_b"], r["rank"]) for r in got if r["id_a"] < "c140"} == want
 
 
+def test_cells_asked_in_parts_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(34)
+    x = np.clip(60 * rng.standard_normal((8, 64))[rng.integers(0, 8, 900)] + 25 * rng.standard_normal((900, 64)), -127, 127).astype(np.int8)
+    x[100:110] = x[3]
+    df = spark.createDataFrame([(i, f"c{i:03d}", v.tolist()) for i, v in enumerate(x)], "row_no long, chunk_id string, vectors array<tinyint>")
+    rows_sent, real = [], neighbours._router
+
+    def router(fit, visits, blocks, widen, part=0, parts=1):
+        rows_sent.append((part, parts))
+        return real(fit, visits, blocks, widen, part, parts)
+
+    monkeypatch.setattr(neighbours, "_router", router)
+    got = []
+    for least in (neighbours.LARGE_ROWS, 100):
+        monkeypatch.setattr(neighbours, "LARGE_ROWS", least)
+        got.append(sorted(map(tuple, neighbours.nearest_neighbours(df, "chunk_id", "vectors", "row_no", dim=64).collect())))
+    assert got[0] == got[1] and len(got[0]) == 4500
+    assert {(0, 3), (1, 3), (2, 3)} <= set(rows_sent)
+
+
 def test_scan_breaks_ties_by_id(monkeypatch):
     rng = np.random.default_rng(12)
     x = rng.integers(-90, 90, (400, 32)).astype(np.int8)
